@@ -10,8 +10,10 @@ over a hundred bytes moved per byte of text, so positions are grouped first:
    run whose gram is nowhere else, and once in it, holds no repeated window
    and is dropped.
 2. A run whose whole stretch of bytes occurs twice is repeated throughout.
-3. Runs that share their gram with different stretches are ranked window by
-   window at the full length.
+3. Windows of runs that share their gram with different stretches are ranked
+   in cells of neighbours at equal distance from it: what all of a cell share
+   must occur twice, and if what they span does, all are repeated.
+4. Windows of cells still in doubt are ranked one by one at the full length.
 
 Ranks are 64-bit hashes of the bytes at each length.
 """
@@ -29,7 +31,9 @@ from papyra.llm import bytesops as B
 from papyra.llm.common import bitmap_of, in_bitmap, ship, text_rows
 from papyra.scratch import settle
 
-RUNS = "t long, g long, bh long, nw int, lo long, again boolean"
+RUNS = "t long, g long, bh long, nw int, lo long, at int, again boolean"
+#: Windows that are ranked together first.
+CELL = 16
 _BIG = 2**63 - 1
 
 
@@ -64,28 +68,28 @@ def _extreme(h: np.ndarray, width: int, of=np.minimum) -> np.ndarray:
     return of(h[: len(h) - (width - size)], h[width - size :]) if width > size else h
 
 
-def _recurring(h: np.ndarray, low: np.ndarray, start: np.ndarray, g: np.ndarray, width: int) -> np.ndarray:
-    """Which runs have their smallest gram at two places or more; ``low`` is 0 at windows that cross texts."""
+def _places(h: np.ndarray, low: np.ndarray, start: np.ndarray, g: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each run one place of its smallest gram, and whether it has others; ``low`` is 0 at windows that cross texts."""
     pad = np.zeros(width - 1, np.uint64)
     places = np.flatnonzero((_extreme(np.concatenate([pad, low, pad]), width, np.maximum) == h) & (h > 0))
-    same = (h[places][1:] == h[places][:-1]) & (np.diff(places) <= width)
-    at, value = places[:-1][same], h[places[:-1][same]]
-    # Places next to each other with one value are of one run, at or before that of the window starting there.
-    run = np.searchsorted(start, at, "right") - 1
-    out = np.zeros(len(start), bool)
+    # A smallest gram's run is at or before that of the window starting there.
+    run, value = np.searchsorted(start, places, "right") - 1, h[places]
+    first, count = np.full(len(start), -1), np.zeros(len(start), np.int64)
     while len(run):
         good = g[run] == value
-        out[run[good]] = True
-        run, value = run[~good] - 1, value[~good]
-        run, value = run[run >= 0], value[run >= 0]
-    return out
+        np.add.at(count, run[good], 1)
+        first[run[good]] = places[good]
+        run, value, places = run[~good] - 1, value[~good], places[~good]
+        keep = run >= 0
+        run, value, places = run[keep], value[keep], places[keep]
+    return first, count != 1
 
 
 def runs_of(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Text, first window, number of windows, gram and stretch hash of each run, and whether it has its gram more than once."""
+    """Text, first window, number of windows, gram and stretch hash of each run, the gram's place in it, and whether it has others."""
     size = np.diff(offsets)
     if not len(size) or size.max() < length:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, bool),)
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64), np.zeros(0, bool))
     run = _prefix(data)
     grams = _every(run, gram)
     low = _extreme(grams, length - gram + 1)
@@ -100,8 +104,8 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
     count = np.diff(np.concatenate([first, [len(p)]]))
     start = p[first]
     text = np.searchsorted(offsets, start, "right") - 1
-    again = _recurring(grams, np.where(inside, low, B.U(0)), start, m[first], length - gram + 1)
-    return text, start - offsets[text], count, m[first], _hash(run, start, start + count + length - 1), again
+    at, again = _places(grams, np.where(inside, low, B.U(0)), start, m[first], length - gram + 1)
+    return text, start - offsets[text], count, m[first], _hash(run, start, start + count + length - 1), at - start, again
 
 
 def _segments(data: np.ndarray, offsets: np.ndarray, length: int):
@@ -123,22 +127,23 @@ def _runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
             data, offsets = B.utf8(b.column("text"))
             ids = b.column("doc_id").fill_null(_BIG).to_numpy(zero_copy_only=False)
             keys = np.array([text_key(data[s:e]) for s, e in zip(offsets[:-1], offsets[1:], strict=True)], np.int64)
-            yield _batch(keys, ids, np.diff(offsets), np.full(len(keys), -1), np.zeros(len(keys), np.int64), np.zeros(len(keys), bool))
+            yield _batch(keys, ids, np.diff(offsets), np.full(len(keys), -1), np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), np.zeros(len(keys), bool))
             for i, at, piece, off in _segments(data, offsets, length):
-                text, lo, count, g, bh, again = runs_of(piece, off, length, gram)
-                yield _batch(keys[i + text], g.view(np.int64), bh.view(np.int64), count, lo + at, again)
+                text, lo, count, g, bh, place, again = runs_of(piece, off, length, gram)
+                yield _batch(keys[i + text], g.view(np.int64), bh.view(np.int64), count, lo + at, place, again)
 
     return docs.mapInArrow(run, RUNS)
 
 
-def _batch(t, g, bh, nw, lo, again):
-    return pa.RecordBatch.from_arrays([pa.array(t), pa.array(g), pa.array(bh), pa.array(nw.astype(np.int32)), pa.array(lo), pa.array(again)], names=["t", "g", "bh", "nw", "lo", "again"])
+def _batch(t, g, bh, nw, lo, at, again):
+    return pa.RecordBatch.from_arrays([pa.array(t), pa.array(g), pa.array(bh), pa.array(nw.astype(np.int32)), pa.array(lo), pa.array(at.astype(np.int32)), pa.array(again)], names=[c.split()[0] for c in RUNS.split(", ")])
 
 
-def _windows(docs: DataFrame, stretches: DataFrame, length: int) -> DataFrame:
-    """(wh, t, p, cnt): the full-length rank of each window of the given stretches, read from one text of each."""
-    reps = settle(stretches, "substring-stretches")
-    wanted = docs.sparkSession.sparkContext.broadcast(bitmap_of(reps.select(F.expr("t ^ doc").alias("k")), "k"))
+def _from_texts(docs: DataFrame, parts: DataFrame, make, schema: str) -> DataFrame:
+    """``make(bytes, part)`` for each of ``parts`` (t, doc and what make needs), read from one text of its key t."""
+    parts = settle(parts, "substring-parts")
+    wanted = docs.sparkSession.sparkContext.broadcast(bitmap_of(parts.select(F.expr("t ^ doc").alias("k")), "k"))
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def pick(batches):
         for b in batches:
@@ -148,41 +153,82 @@ def _windows(docs: DataFrame, stretches: DataFrame, length: int) -> DataFrame:
             hit = pa.array(np.flatnonzero(in_bitmap(wanted.value, (keys ^ ids).view(np.uint64))))
             yield pa.RecordBatch.from_arrays([pa.array(keys).take(hit), b.column("text").take(hit)], names=["t", "text"])
 
-    def rank(batches):
+    def run(batches):
         for b in batches:
             data, offsets = B.utf8(b.column("text"))
-            for t, s, runs in zip(b.column("t").to_pylist(), offsets[:-1].tolist(), b.column("runs"), strict=True):
-                out = []
-                for r in runs.as_py():
-                    h = _every(_prefix(data[s + r["lo"] : s + r["lo"] + r["nw"] + length - 1]), length)
-                    out.append((h, r["lo"] + np.arange(r["nw"]), np.full(r["nw"], r["cnt"])))
-                h, p, c = (np.concatenate([x[k] for x in out]) for k in range(3))
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), t, np.int64)), pa.array(p), pa.array(c)], names=["wh", "t", "p", "cnt"])
+            for t, s, rows in zip(b.column("t").to_pylist(), offsets[:-1].tolist(), b.column("parts"), strict=True):
+                out = [make(data[s:], r) for r in rows.as_py()]
+                columns = [np.concatenate([x[k] for x in out]) for k in range(len(names) - 1)]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c.view(np.int64)) for c in columns), pa.array(np.full(len(columns[0]), t, np.int64))], names=names)
+
+    grouped = parts.groupBy("t").agg(F.collect_list(F.struct(*[c for c in parts.columns if c not in ("t", "doc")])).alias("parts"))
+    return settle(docs.mapInArrow(pick, "t long, text string").join(grouped, "t").select("t", "text", "parts").mapInArrow(run, schema), "substring-ranks")
+
+
+def _cells(docs: DataFrame, stretches: DataFrame, length: int) -> DataFrame:
+    """Windows by their distance to their smallest gram, CELL to a row: ranks of the bytes that all of a cell's windows share and, if all CELL windows are in the run, of the bytes they span together (else 0)."""
+
+    def make(data, r):
+        own = data[r["lo"] : r["lo"] + r["nw"] + length - 1]
+        run = _prefix(own)
+        c = np.arange((r["at"] - r["nw"] + 1) // CELL, r["at"] // CELL + 1)
+        last = r["at"] - CELL * c
+        first = last - CELL + 1
+        lo, hi = np.maximum(first, 0), np.minimum(last, r["nw"] - 1)
+        core = B.mix(_hash(run, last, first + length) + c.astype(np.uint64))
+        all_ = (lo == first) & (hi == last)
+        span = np.where(all_, B.mix(_hash(run, lo, np.minimum(last + length, len(own))) + c.astype(np.uint64)) | B.U(1), B.U(0))
+        return core, span, np.full(len(c), r["cnt"]), r["lo"] + lo, hi - lo + 1
+
+    return _from_texts(docs, stretches, make, "core long, span long, cnt long, lo long, nw long, t long")
+
+
+def _windows(docs: DataFrame, parts: DataFrame, length: int) -> DataFrame:
+    """The full-length rank of each window."""
+
+    def make(data, r):
+        h = _every(_prefix(data[r["lo"] : r["lo"] + r["nw"] + length - 1]), length)
+        return h, np.full(r["nw"], r["cnt"]), r["lo"] + np.arange(r["nw"])
+
+    return _from_texts(docs, parts, make, "wh long, cnt long, p long, t long")
+
 
-    grouped = reps.groupBy("t").agg(F.collect_list(F.struct("lo", "nw", "cnt")).alias("runs"))
-    return docs.mapInArrow(pick, "t long, text string").join(grouped, "t").select("t", "text", "runs").mapInArrow(rank, "wh long, t long, p long, cnt long")
+def _often(rows: DataFrame, key: str) -> DataFrame:
+    """Keys whose rows stand for two places or more."""
+    return rows.groupBy(key).agg(F.sum("cnt").alias("places")).filter("places > 1").select(key)
 
 
 def repeated(docs: DataFrame, length: int = 200, gram: int = 32) -> DataFrame:
     """(t, whole, starts, full) per text with repeated windows: whole if the text itself repeats, else the starts of repeated windows and of runs of them."""
     rows = settle(_runs(docs, length, gram), "substring-runs")
-    texts = rows.filter("nw < 0").groupBy("t").agg(F.count("*").alias("mult"), F.min("g").alias("doc"), F.max("bh").alias("size"))
+    texts = settle(rows.filter("nw < 0").groupBy("t").agg(F.count("*").alias("mult"), F.min("g").alias("doc"), F.max("bh").alias("size")), "substring-texts")
     runs = rows.filter("nw > 0")
     shared = runs.groupBy("g").agg(F.count("*").alias("total"), F.max("again").alias("again")).filter("total > 1 or again").select("g")
     runs = settle(runs.join(shared, "g"), "substring-shared")
     # One row for each stretch: how often it occurs, and one place.
-    each = settle(runs.groupBy("g", "bh", "nw").agg(F.count("*").alias("cnt"), F.min(F.struct("t", "lo")).alias("at"), F.max("again").alias("again")), "substring-each")
+    each = settle(runs.groupBy("g", "bh", "nw").agg(F.count("*").alias("cnt"), F.min(F.struct("t", "lo", "at")).alias("one"), F.max("again").alias("again")), "substring-each")
+    each = each.select("g", "bh", "nw", "cnt", F.col("one.t").alias("t"), F.col("one.lo").alias("lo"), F.col("one.at").alias("at"), "again")
     # In doubt: stretches of a gram of which some occur once, if it has others or stands more than once in one.
-    open_ = each.groupBy("g").agg(F.count("*").alias("kinds"), F.min("cnt").alias("least"), F.max("again").alias("again")).filter("least = 1 and (kinds > 1 or again)").select("g")
-    doubt = each.join(open_, "g").select("cnt", F.col("at.t").alias("t"), F.col("at.lo").alias("lo"), "nw")
-    windows = settle(_windows(docs, doubt.join(texts.select("t", "doc"), "t"), length), "substring-windows")
-    twice = windows.groupBy("wh").agg(F.sum("cnt").alias("n")).filter("n > 1").select("wh")
-    points = windows.filter("cnt = 1").join(twice, "wh").groupBy("t").agg(F.collect_list("p").alias("starts"))
-    once = texts.filter("mult = 1").select("t")
+    open_ = each.groupBy("g").agg(F.count("*").alias("kinds"), F.min("cnt").alias("least"), F.max("again").alias("some")).filter("least = 1 and (kinds > 1 or some)").select("g", "some")
+    doubt = settle(each.join(open_, "g").join(texts.select("t", "doc"), "t").select("t", "doc", "lo", "nw", "at", "cnt", "some"), "substring-doubt")
+    cells = _cells(docs, doubt.filter("not some").drop("some"), length)
+    alive = settle(cells.join(_often(cells, "core"), "core"), "substring-cells")
+    spans = _often(alive.filter("span <> 0"), "span").withColumn("sure", F.lit(True))
+    alive = settle(alive.join(spans, "span", "left").withColumn("sure", F.coalesce("sure", F.lit(False))), "substring-alive")
+    unsure = alive.filter("cnt = 1 and not sure").select("core").distinct()
+    # Equal spans go on as one.
+    rest = alive.join(unsure, "core")
+    once = rest.filter("span = 0").select("t", "lo", "nw", "cnt")
+    merged = rest.filter("span <> 0").groupBy("core", "span").agg(F.sum("cnt").alias("cnt"), F.min(F.struct("t", "lo", "nw")).alias("one")).select("one.t", "one.lo", "one.nw", "cnt")
+    fine = once.unionByName(merged).join(texts.select("t", "doc"), "t").select("t", "doc", "lo", "nw", "cnt")
+    windows = _windows(docs, fine.unionByName(doubt.filter("some").select("t", "doc", "lo", F.col("nw").cast("long").alias("nw"), "cnt")), length)
+    points = windows.filter("cnt = 1").join(_often(windows, "wh"), "wh").groupBy("t").agg(F.collect_list("p").alias("starts"))
+    single = texts.filter("mult = 1").select("t")
     often = each.filter("cnt > 1").select("g", "bh", "nw")
-    full = runs.join(once, "t", "left_semi").join(often, ["g", "bh", "nw"]).groupBy("t").agg(F.collect_list(F.struct("lo", "nw")).alias("full"))
+    full = runs.join(single, "t", "left_semi").join(often, ["g", "bh", "nw"]).select("t", "lo", F.col("nw").cast("long").alias("nw")).unionByName(alive.filter("cnt = 1 and sure").select("t", "lo", "nw"))
+    full = full.groupBy("t").agg(F.collect_list(F.struct("lo", "nw")).alias("full"))
     whole = texts.filter(f"mult > 1 and size >= {length}").select("t", F.lit(True).alias("whole"))
-    out = points.join(full, "t", "full").join(once, "t", "left_semi").withColumn("whole", F.lit(False)).unionByName(whole, allowMissingColumns=True)
+    out = points.join(full, "t", "full").join(single, "t", "left_semi").withColumn("whole", F.lit(False)).unionByName(whole, allowMissingColumns=True)
     return settle(out.select("t", "whole", "starts", "full"), "substring-repeated")
 
 
