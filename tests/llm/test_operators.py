@@ -138,7 +138,8 @@ def test_decontaminate(spark, odd, none):
         got = [(r.doc_id, r.n_hit, r.n_items) for r in decontaminate.report(found).collect()]
         assert sorted(map(repr, got)) == sorted(map(repr, [(1, 0, 0), (2, 0, 0), (3, 1, 1), (3, 1, 1), (None, 0, 0), (5, 15, 1), (6, 15, 1), (7, 15, 1)]))
     left = {r.doc_id: r.text for r in decontaminate.strip(found).collect()}
-    assert "w99 " in left[5] and "w107" not in left[5] and "w115" in left[5]
+    words = set(left[5].split())
+    assert {"w99", "w115"} <= words and not words & {f"w{i}" for i in range(100, 115)}
     assert decontaminate.find(none, items).count() == 0
 
 
