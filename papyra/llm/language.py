@@ -57,8 +57,16 @@ class TextModel:
 
 
 def train(docs: DataFrame, rows: int = 4000, lang_col: str = "lang", text_col: str = "text") -> TextModel:
-    """A model from at most ``rows`` labelled texts (those of the smallest hash) and their first 20,000 characters each."""
-    t = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang is not null and text is not null").withColumn("h", F.xxhash64("text")).orderBy("h", "lang").limit(rows).select("lang", F.substring("text", 1, 20000).alias("text")).toArrow()
+    """A model from about ``rows`` whole labelled texts: those of the smallest hashes, so the same ones on every run.
+
+    The hash that bounds the sample is found first, over hashes alone; equal
+    texts share a hash and are taken once.
+    """
+    known = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang is not null and text is not null").withColumn("h", F.xxhash64("text", "lang"))
+    last = known.select("h").distinct().orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+    if last is None:
+        return TextModel([], [])
+    t = known.filter(F.col("h") <= last).dropDuplicates(["h"]).orderBy("h").limit(rows).select("lang", "text").toArrow()
     return TextModel(t["lang"].to_pylist(), t["text"].to_pylist())
 
 
@@ -123,7 +131,7 @@ def identify(pages: DataFrame, model: TextModel, id_col: str = "page_id", url_co
     seen = {r["declared"]: r["s"] for r in table("declared").collect()}
     likely = {d: [float(np.log((s[i] + 0.5) / (s_all[i] + 0.5 * (k + 2)))) for i in range(k)] for d, s in seen.items()}
     arr = lambda v: F.array(*[F.lit(float(x)) for x in v])
-    by_declared = F.lit(None)
+    by_declared = arr([0.0] * k)
     for d, v in sorted(likely.items()):
         by_declared = F.when(F.col("declared") == d, arr(v)).otherwise(by_declared)
     hosts = table("host", "domain", "suffix")
