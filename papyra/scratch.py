@@ -13,6 +13,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
+#: Spark then deletes a query's shuffle files on all executors as soon as it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: dict[str, str] = {}
 
 
@@ -38,14 +40,29 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     of it lives on one machine only.
     """
     spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path, before = new_path(spark, name), spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete settled tables that nothing reads any more; others, and what is derived from settled ones, stay."""
+    for df in tables:
+        if path := getattr(df, "_settled_at", None):
+            _delete(df.sparkSession, path)
 
 
 def clean(spark: SparkSession) -> None:
     """Drop all intermediate tables of this application (call when their readers are done)."""
-    root = f"{shared_dir(spark)}/papyra-{spark.sparkContext.applicationId}"
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
+    _delete(spark, f"{shared_dir(spark)}/papyra-{spark.sparkContext.applicationId}")
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
