@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.scratch import settle
+from papyra.scratch import release, settle
 
 _shipped: set[str] = set()
 
@@ -100,7 +100,8 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b", name: str = "cc
             .filter("u <> v")
             .distinct()
         )
-        cur = settle(small, f"{name}-step")
+        last, cur = cur, settle(small, f"{name}-step")
+        release(last)
         # Settled once each node has one edge and no root has any: nothing moves any more.
         now = cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
@@ -124,11 +125,12 @@ def bucket_links(signatures: DataFrame, fits, verify, name: str, rounds: int = 2
     (a, b) whether they do. A bucket isn't expanded into pairs: in each round
     its nodes meet one pivot, then a last round compares, exactly, what still
     lies in different components. Pairs inside one component are skipped, as
-    their links change nothing.
+    their links change nothing. A settled table of signatures is deleted once read.
     """
     tested, comp, rows = None, None, signatures
     for r in range(rounds + 1):
-        rows = _apart(rows.select("sig", "node", "n"), comp, name)
+        last, rows = rows, _apart(rows.select("sig", "node", "n"), comp, name)
+        release(last)
         if comp is not None and rows.isEmpty():
             break
         if r < rounds:
@@ -142,5 +144,6 @@ def bucket_links(signatures: DataFrame, fits, verify, name: str, rounds: int = 2
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         done = settle(verify(pairs).select("a", "b", "linked"), f"{name}-verified")
         tested = done if tested is None else tested.unionByName(done)
-        comp = settle(components(tested.filter("linked").select("a", "b"), name=name), f"{name}-components")
+        last, comp = comp, settle(components(tested.filter("linked").select("a", "b"), name=name), f"{name}-components")
+        release(last)
     return comp
