@@ -10,7 +10,7 @@ import zipfile
 from pathlib import Path
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from papyra.scratch import release, settle
@@ -118,27 +118,62 @@ def _apart(buckets: DataFrame, comp: DataFrame | None, name: str) -> DataFrame:
     return settle(rows.join(split, "sig"), f"{name}-buckets")
 
 
-def bucket_links(signatures: DataFrame, fits, verify, name: str, rounds: int = 2) -> DataFrame:
+#: A ring round deals a bucket into so many parts, in which each node meets the next few.
+PARTS, NEXT = 16, 8
+#: The last round begins once it has at most so many pairs a bucket row.
+EACH = 16
+
+
+def _pairs_left(rows: DataFrame) -> tuple[int, int]:
+    """The bucket rows, and the pairs of different components within them (a pair of several buckets counts in each)."""
+    of = rows.groupBy("sig", "c").agg(F.count("*").alias("k")).groupBy("sig").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("own"))
+    n, pairs = of.agg(F.sum("n"), F.sum((F.col("n").cast("double") * F.col("n") - F.col("own")) / 2)).first()
+    return n or 0, pairs or 0
+
+
+def _pair(rows: DataFrame, a: str, b: str) -> DataFrame:
+    return rows.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+
+
+def _with_pivot(rows: DataFrame, fits, r: int) -> DataFrame:
+    head = rows.groupBy("sig").agg(F.min(F.struct(F.xxhash64("node", F.lit(r)).alias("h"), "node", "n", "c")).alias("p"))
+    return _pair(rows.join(head, "sig").filter((F.col("c") != F.col("p.c")) & fits(F.col("n"), F.col("p.n"))), "node", "p.node")
+
+
+def _in_ring(rows: DataFrame, fits, r: int) -> DataFrame:
+    """Each node with the next few of its part of the bucket, in an order of hashes that differs between buckets and rounds."""
+    order = F.xxhash64("node", "sig", F.lit(r))
+    near = Window.partitionBy("sig", F.pmod(F.xxhash64("node", F.lit(r)), F.lit(PARTS))).orderBy(order, "node").rowsBetween(1, NEXT)
+    met = rows.withColumn("p", F.collect_list(F.struct("node", "n", "c")).over(near)).withColumn("p", F.explode("p"))
+    return _pair(met.filter((F.col("c") != F.col("p.c")) & fits(F.col("n"), F.col("p.n"))), "node", "p.node")
+
+
+def _all_left(rows: DataFrame, fits) -> DataFrame:
+    x, y = (rows.select("sig", *[F.col(c).alias(f"{c}{k}") for c in ("node", "n", "c")]) for k in (1, 2))
+    return _pair(x.join(y, "sig").filter((F.col("c1") < F.col("c2")) & fits(F.col("n1"), F.col("n2"))), "node1", "node2")
+
+
+def bucket_links(signatures: DataFrame, fits, verify, name: str) -> DataFrame:
     """(node, root) of all nodes with a link, from rows (sig, node, n): nodes that link share a signature.
 
     ``fits(n, m)`` tells which sizes can link, ``verify(pairs)`` adds to pairs
-    (a, b) whether they do. A bucket isn't expanded into pairs: in each round
-    its nodes meet one pivot, then a last round compares, exactly, what still
-    lies in different components. Pairs inside one component are skipped, as
-    their links change nothing. A settled table of signatures is deleted once read.
+    (a, b) whether they do. A large bucket isn't expanded into pairs: its nodes
+    meet one pivot first, which joins copies of one text, then some others
+    each, which joins groups whose texts differ among each other. Once few
+    pairs are left in different components, or a ring spares less than a fifth
+    of them, a last round compares them all, exactly. Pairs inside one component are skipped,
+    as their links change nothing. A settled table of signatures is deleted
+    once read.
     """
-    tested, comp, rows = None, None, signatures
-    for r in range(rounds + 1):
+    tested, comp, rows, before, r = None, None, signatures, 0, 0
+    while True:
         last, rows = rows, _apart(rows.select("sig", "node", "n"), comp, name)
         release(last)
-        if comp is not None and rows.isEmpty():
+        n, left = _pairs_left(rows)
+        if comp is not None and not n:
             break
-        if r < rounds:
-            head = rows.groupBy("sig").agg(F.min(F.struct(F.xxhash64("node", F.lit(r)).alias("h"), "node", "n", "c")).alias("p"))
-            pairs = rows.join(head, "sig").filter((F.col("c") != F.col("p.c")) & fits(F.col("n"), F.col("p.n"))).select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"))
-        else:
-            x, y = (rows.select("sig", *[F.col(c).alias(f"{c}{k}") for c in ("node", "n", "c")]) for k in (1, 2))
-            pairs = x.join(y, "sig").filter((F.col("c1") < F.col("c2")) & fits(F.col("n1"), F.col("n2"))).select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b"))
+        end = left <= EACH * n or (r > 1 and left > 0.8 * before)
+        pairs = _all_left(rows, fits) if end else _in_ring(rows, fits, r) if r else _with_pivot(rows, fits, r)
         pairs = pairs.distinct()
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
@@ -146,4 +181,8 @@ def bucket_links(signatures: DataFrame, fits, verify, name: str, rounds: int = 2
         tested = done if tested is None else tested.unionByName(done)
         last, comp = comp, settle(components(tested.filter("linked").select("a", "b"), name=name), f"{name}-components")
         release(last)
+        if end:
+            break
+        before, r = left, r + 1
+    release(rows)
     return comp
