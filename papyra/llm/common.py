@@ -160,7 +160,7 @@ def bucket_links(signatures: DataFrame, fits, verify, name: str) -> DataFrame:
     (a, b) whether they do. A large bucket isn't expanded into pairs: its nodes
     meet one pivot first, which joins copies of one text, then some others
     each, which joins groups whose texts differ among each other. Once few
-    pairs are left in different components, or a ring spares less than a fifth
+    pairs are left in different components, or a ring spares less than half
     of them, a last round compares them all, exactly. Pairs inside one component are skipped,
     as their links change nothing. A settled table of signatures is deleted
     once read.
@@ -172,7 +172,7 @@ def bucket_links(signatures: DataFrame, fits, verify, name: str) -> DataFrame:
         n, left = _pairs_left(rows)
         if comp is not None and not n:
             break
-        end = left <= EACH * n or (r > 1 and left > 0.8 * before)
+        end = left <= EACH * n or (r > 1 and left > 0.5 * before)
         pairs = _all_left(rows, fits) if end else _in_ring(rows, fits, r) if r else _with_pivot(rows, fits, r)
         pairs = pairs.distinct()
         if tested is not None:
