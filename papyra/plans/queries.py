@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from papyra.functions import text as T
+from papyra.operators import pages as P
+from papyra.operators import parsers as X
 from papyra.operators import relational as R
 
 _Q: dict = {}
@@ -289,6 +291,68 @@ def surrogate_ids(spark, sf):
     return t(spark, sf, "documents").select(T.padded_id("DOC", F.col("doc_id")).alias("id"), T.union_pages(F.col("source"), F.col("lang"), F.col("source")).alias("pages"))
 
 
+@query("""
+WITH e AS (SELECT page_id, 'nav' AS name, 0 AS k, strpos(html, '<nav') AS place FROM pages UNION ALL SELECT page_id, 'table', 1, strpos(html, '<table') FROM pages UNION ALL SELECT page_id, 'list', 2, strpos(html, '<li>') FROM pages)
+SELECT page_id, arg_max(name, place * 10 + k) FILTER (WHERE place > 0) AS section FROM e GROUP BY 1""")
+def top_section(spark, sf):
+    rules = [("nav", "<nav"), ("table", "<table"), ("list", "<li>")]
+    return t(spark, sf, "pages").select("page_id", P.heading(F.col("html"), rules, {}).alias("section"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN regexp_matches(text, '[?]') THEN 'question' WHEN regexp_matches(text, '[0-9]') AND role = 'user' THEN 'number' WHEN regexp_matches(text, ',') AND role <> 'user' THEN 'list' ELSE role END AS section FROM conversations")
+def page_phrases(spark, sf):
+    rules = [("question", "[?]", None, []), ("number", "[0-9]", ["user"], []), ("list", ",", None, ["user"])]
+    return t(spark, sf, "conversations").select("conv_id", "turn", P.page_section(F.col("text"), F.col("role"), rules).alias("section"))
+
+
+@query("SELECT doc_id FROM documents WHERE source IS NOT NULL AND length(text) >= 80 AND NOT (length(text) < 800 AND regexp_matches(text, 'license'))")
+def pages_worth_keeping(spark, sf):
+    return t(spark, sf, "documents").filter(P.worth_keeping(F.col("source"), F.col("text"), contents="license")).select("doc_id")
+
+
+@query("SELECT page_id, i - 1 AS pos, parts[i + 1] AS segment, length(array_to_string(parts[1:i], '<li>')) AS at FROM (SELECT page_id, string_split(html, '<li>') AS parts FROM pages), unnest(range(1, len(parts))) AS u(i)")
+def marker_segments(spark, sf):
+    return X.segments(t(spark, sf, "pages"), "page_id", "html", "<(li)>").select("page_id", F.col("pos").cast("long"), "segment", F.col("at").cast("long"))
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, 'INITIAL_FIXED_RATE' AS period_type, 'FIXED' AS rate_type, l_discount AS management_fee, round(l_tax + l_discount, 6) AS total_fee, round(l_tax + l_discount, 6) AS min_total_fee, round(l_tax + l_discount, 6) AS max_total_fee FROM lineitem
+UNION ALL SELECT l_orderkey, l_linenumber, 'PERFORMANCE_LINKED_RATE', 'FORMULA', NULL, NULL, round(l_tax, 6), round(l_tax + 1.6, 6) FROM lineitem""")
+def fee_phases(spark, sf):
+    return X.fee_phases(t(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"], "l_discount", ["l_tax"])
+
+
+@query("""
+WITH h AS (SELECT sha256(text) AS h, conv_id, count(*) AS n FROM conversations GROUP BY ALL), g AS (SELECT h, count(*) AS docs, count(*) FILTER (WHERE n > 1) AS within FROM h GROUP BY 1),
+c AS (SELECT d.doc_id, count(v.conv_id) AS k, coalesce(bool_or(role = 'user') AND bool_or(role = 'assistant'), false) AS whole FROM documents d LEFT JOIN conversations v ON v.conv_id = d.doc_id GROUP BY 1)
+SELECT 'chunks' AS metric, count(*)::BIGINT AS value FROM conversations UNION ALL SELECT 'empty_chunks', count(*) FROM conversations WHERE trim(coalesce(text, '')) = ''
+UNION ALL SELECT 'within_document_duplicates', coalesce(sum(within), 0)::BIGINT FROM g UNION ALL SELECT 'cross_document_duplicates', count(*) FROM g WHERE docs > 1
+UNION ALL SELECT 'documents', count(*) FROM c UNION ALL SELECT 'without_chunks', count(*) FROM c WHERE k = 0 UNION ALL SELECT 'missing_core_sections', count(*) FROM c WHERE NOT whole""")
+def chunk_audit(spark, sf):
+    chunks = t(spark, sf, "conversations").withColumnRenamed("conv_id", "doc_id")
+    return P.chunk_audit(t(spark, sf, "documents"), chunks, "doc_id", "role", "text", ["user", "assistant"])
+
+
+@query("SELECT conv_id, count(*) AS total_pages, nullif(regexp_extract(arg_min(text, turn), '^([A-Za-z]+)', 1), '') AS opening, sha256(string_agg(text, chr(10) ORDER BY turn)) AS sha256, coalesce(list(turn ORDER BY turn) FILTER (WHERE regexp_matches(text, '[?]')), []) AS question_pages FROM conversations GROUP BY 1")
+def scan_audit(spark, sf):
+    return P.scan_audit(t(spark, sf, "conversations"), "conv_id", "turn", "text", {"opening": "^([A-Za-z]+)"}, {"question": "[?]"})
+
+
+@query("WITH d AS (SELECT o_custkey, strftime(o_orderdate, '%Y-%m-%d') AS date, max(o_orderkey) AS page FROM orders WHERE o_orderpriority LIKE '1%' GROUP BY ALL) SELECT *, min(date) OVER (PARTITION BY o_custkey) = date AS earliest FROM d")
+def inception_history(spark, sf):
+    rows = t(spark, sf, "orders").select("o_custkey", "o_orderkey", F.concat_ws(" on ", "o_orderpriority", F.date_format("o_orderdate", "yyyy.MM.dd")).alias("line"))
+    return P.history(rows, "o_custkey", "o_orderkey", "line", "^1", r"[0-9]{4}\.[0-9]{2}\.[0-9]{2}").withColumnRenamed("o_orderkey", "page")
+
+
+@query("""
+WITH f AS (SELECT o_custkey AS c_custkey, count(DISTINCT o_orderdate) AS n, min(strftime(o_orderdate, '%Y-%m-%d')) AS d FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), s AS (SELECT c_custkey, d, CASE WHEN n IS NULL OR n > 1 OR d < '1996-01-01' THEN 'REVIEW_REQUIRED' ELSE 'ESTABLISHED' END AS status FROM customer LEFT JOIN f USING (c_custkey))
+SELECT c_custkey, status, CASE WHEN status = 'ESTABLISHED' THEN d END AS date FROM s""")
+def resolve_dates(spark, sf):
+    found = t(spark, sf, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), F.lit("ESTABLISHED").alias("status"))
+    base = t(spark, sf, "customer").select("c_custkey", F.lit("1996-01-01").alias("floor"))
+    return X.resolve(base, found, ["c_custkey"], "floor").select("c_custkey", "status", "date")
+
+
 def queries() -> dict:
     return dict(_Q)
 
