@@ -112,9 +112,14 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b", name: str = "cc
 
 def _apart(buckets: DataFrame, comp: DataFrame | None, name: str) -> DataFrame:
     """The bucket rows with their component so far, without buckets that lie in one component."""
-    rows = buckets.withColumn("c", F.col("node")) if comp is None else buckets.join(comp.select("node", "root"), "node", "left").withColumn("c", F.coalesce("root", "node")).drop("root")
+    if comp is None:
+        rows = buckets.withColumn("c", F.col("node"))
+    else:  # written, as two steps read it
+        rows = settle(buckets.join(comp.select("node", "root"), "node", "left").withColumn("c", F.coalesce("root", "node")).drop("root"), f"{name}-named")
     split = rows.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("sig")
-    return settle(rows.join(split, "sig"), f"{name}-buckets")
+    out = settle(rows.join(split, "sig"), f"{name}-buckets")
+    release(rows)
+    return out
 
 
 #: A ring round deals a bucket into so many parts, in which each node meets the next few.
