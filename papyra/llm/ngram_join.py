@@ -150,15 +150,19 @@ def _signatures(prefixes: DataFrame, percent: int) -> DataFrame:
     other set, whose prefix reaches at least as far: ``most`` is the size less
     such tokens, a bound of the overlap with any set in the bucket.
 
-    A set that links has, in two tokens' buckets (or one pair's), another of a
-    size that fits; next to it in order of size there is one then.
+    A set that links has, in two tokens' buckets (or one pair's, or a rare
+    token's if it also has a frequent one), another of a size that fits; next
+    to it in order of size there is one then.
     """
     rows = prefixes.select("node", "n", F.posexplode("prefix").alias("pos", "sig"))
     often = rows.groupBy("sig").agg(F.count("*").alias("cnt")).filter("cnt > 1")
     rows = settle(rows.join(often, "sig").select("sig", "node", "n", "pos", "cnt"), "jaccard-tokens")
     before = F.row_number().over(Window.partitionBy("node").orderBy("sig")) - 1
     rows = rows.withColumn("most", F.col("n") - F.col("pos") + before).filter(100 * F.col("most") >= percent * F.col("n"))
-    single = rows.filter((F.col("cnt") <= FREQUENT) | (F.col("n") > PAIRED * percent // 100)).select("sig", "node", "n", "most", F.lit(1).alias("w"))
+    # A rare token and a frequent one may be all that a short set shares: no pair is made of them, so the rare one's bucket is enough.
+    mixed = (F.col("cnt") <= FREQUENT) & (F.col("n") <= PAIRED) & (F.max("cnt").over(Window.partitionBy("node")) > FREQUENT)
+    rows = rows.withColumn("w", F.when(mixed, 2).otherwise(1))
+    single = rows.filter((F.col("cnt") <= FREQUENT) | (F.col("n") > PAIRED * percent // 100)).select("sig", "node", "n", "most", "w")
     # Pairs of one short set's frequent prefix tokens: a few dozen tokens at most.
     own = rows.filter((F.col("cnt") > FREQUENT) & (F.col("n") <= PAIRED)).groupBy("node", "n").agg(F.sort_array(F.collect_set(F.struct("sig", "most"))).alias("t"))
     pairs = F.expr("flatten(transform(t, (x, i) -> transform(slice(t, i + 2, size(t)), y -> struct(xxhash64(x.sig, y.sig) as sig, y.most as most))))")

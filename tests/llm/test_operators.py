@@ -122,6 +122,25 @@ def test_ngram_join(spark, n, percent):
     assert got == {i: (len(s), root[i]) for i, s in enumerate(sets)}
 
 
+@pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80)])
+def test_ngram_join_rare_and_frequent(spark, monkeypatch, n, percent):
+    monkeypatch.setattr(ngram_join, "FREQUENT", 50)
+    core = " ".join(f"t{i}" for i in range(11))
+    texts = [f"{core} z{i}" for i in range(300)] + [f"{core} same", f"{core} same extra"]
+    rng = np.random.default_rng(2)
+    for k in range(20):
+        words = core.split() + [f"k{k}x{i}" for i in range(rng.integers(1, 40))]
+        texts += [" ".join(words), " ".join([*words, f"end{k}"])]
+    sets = [shingles(t, n) for t in texts]
+    root = list(range(len(texts)))
+    near = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and 100 * len(a & b) >= percent * len(a | b)]
+    for _ in range(8):
+        for i, j in near:
+            root[i] = root[j] = min(root[i], root[j])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in ngram_join.join(df, n, percent).collect()} == dict(enumerate(root))
+
+
 def test_licenses(odd, none):
     assert licenses.scan(odd).count() == len(ROWS) and licenses.scan(none).count() == 0
     text = "Foo. Released under the MIT License, or the Apache License. " + licenses.TEMPLATES["bsd"].upper()
