@@ -170,6 +170,17 @@ def test_line_dedup(spark, odd, none):
     assert line_dedup.dedup(odd).count() == len(ROWS) and line_dedup.dedup(none).count() == 0
 
 
+def test_line_dedup_of_all_lines(spark, tmp_path):
+    wide = "这是一行没有空格的很长的中文文字用来检查重复的行是否会被删除因为每一份文件都带有同样的说明文字"
+    lines = ["Les.", "---", wide, "the same boilerplate", "", "***", "กี่"]
+    rows = [(1, "\n".join(lines)), (2, "les\n---\n\nown\nกา"), (3, f"{wide}。\nThe same boilerplate!\n \nกี่"), (4, "house\nmouse")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.dedup(df, all_lines=True).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("\nown\nกา", 2), 3: (" ", 3), 4: (rows[3][1], 0)}
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.n_removed for r in queries.op7_line_dedup(spark, str(tmp_path)).collect()} == {1: 0, 2: 2, 3: 3, 4: 0}
+
+
 def test_substrings(spark, odd, none):
     rng = np.random.default_rng(5)
     base = ["".join(rng.choice(list("abcdé "), 300)) for _ in range(6)]
