@@ -217,6 +217,17 @@ def test_quality(spark, odd, none):
     assert s["n_dup_lines"].tolist() == [1, 0] and s["n_repeat_words"].tolist() == [0, 10]
 
 
+def test_quality_threshold_of_both_classes(spark):
+    top = DATA.replace("sf0.001", "sf0.01")
+    labels = spark.read.parquet(f"{top}/labels.parquet")
+    got = quality.judge(spark.read.parquet(f"{top}/documents.parquet"), labels).join(labels, "doc_id").filter("not base_failed")
+    kept = {r.quality: r.k for r in got.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("k")).collect()}
+    assert kept[0] < 0.1 and kept[1] > 0.9
+    good, bad = np.array([0.3, 0.4, 0.5]), np.array([0.45, 0.6])
+    assert quality.threshold(good, bad, 0.01) == 0.4 and quality.threshold(good, bad[:0], 0.4) == 0.5
+    assert quality.threshold(good[:0], bad, 0.01) == np.inf
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as cp
 
