@@ -115,6 +115,25 @@ def page_diff(spark, sf):
     return a.join(b, "turn", "full").filter(~F.col("x").eqNullSafe(F.col("y"))).select("turn", "x", "y")
 
 
+@query("""
+WITH i AS (SELECT conv_id, lead(conv_id) OVER (ORDER BY conv_id) AS next_id FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL)),
+a AS (SELECT conv_id, next_id, turn, text FROM conversations JOIN i USING (conv_id) WHERE next_id IS NOT NULL),
+b AS (SELECT i.conv_id, i.next_id, turn, text FROM conversations c JOIN i ON c.conv_id = i.next_id)
+SELECT coalesce(a.conv_id, b.conv_id) AS conv_id, coalesce(a.next_id, b.next_id) AS next_id, coalesce(a.turn, b.turn) AS turn, a.text AS x, b.text AS y
+FROM a FULL JOIN b ON a.conv_id = b.conv_id AND a.turn = b.turn WHERE a.text IS DISTINCT FROM b.text""")
+def page_diff_next(spark, sf):
+    """Each conversation against the one of the next higher id, turn by turn; no id is left out."""
+    c = t(spark, sf, "conversations").filter("conv_id is not null")
+    # The next id, by ranges of 1024 ids: only a range's ends meet those of the others.
+    ids = c.select("conv_id").distinct().withColumn("r", F.expr("shiftright(conv_id, 10)"))
+    ranges = ids.groupBy("r").agg(F.min("conv_id").alias("low")).withColumn("after", F.lead("low").over(Window.orderBy("r"))).select("r", "after")
+    within = F.lead("conv_id").over(Window.partitionBy("r").orderBy("conv_id"))
+    pairs = ids.withColumn("n", within).join(ranges, "r").select("conv_id", F.coalesce("n", "after").alias("next_id")).filter("next_id is not null")
+    a = c.join(pairs, "conv_id").select("conv_id", "next_id", "turn", F.col("text").alias("x"))
+    b = c.withColumnRenamed("conv_id", "next_id").join(pairs, "next_id").select("conv_id", "next_id", "turn", F.col("text").alias("y"))
+    return a.join(b, ["conv_id", "next_id", "turn"], "full").filter(~F.col("x").eqNullSafe(F.col("y"))).select("conv_id", "next_id", "turn", "x", "y")
+
+
 @query("SELECT doc_id, quality, CASE WHEN quality IS NULL THEN 'NOT_DISCLOSED' WHEN quality = 1 THEN 'ESTABLISHED' ELSE 'NOT_ESTABLISHED' END AS status FROM documents LEFT JOIN labels USING (doc_id)")
 def status_derivation(spark, sf):
     j = t(spark, sf, "documents").join(t(spark, sf, "labels"), "doc_id", "left")

@@ -28,6 +28,13 @@ def packed(text, limit, overlap):
     return [*out, now.strip()] if now.strip() else out
 
 
+def test_page_diff_next_covers_all_ids(spark, tmp_path):
+    rows = [(-5, 0, "a"), (3, 0, "a"), (3, 1, "b"), (5000, 1, "c"), (5000, None, "n"), (None, 0, "z")]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {tuple(r) for r in Q.queries()["page_diff_next"](spark, str(tmp_path)).collect()}
+    assert got == {(-5, 3, 1, None, "b"), (3, 5000, 0, "a", None), (3, 5000, 1, "b", "c"), (3, 5000, None, None, "n")}
+
+
 @pytest.mark.parametrize("text", ["", "One.", "A b. " * 40, "x" * 90 + ". y. z.", "One two! Three? Four. " * 9])
 def test_chunks(spark, text):
     got = spark.createDataFrame([(text,)], "t string").select(T.chunks(F.col("t"), 60, 10).alias("c")).first().c
