@@ -38,7 +38,9 @@ class TestNgrams:
                 continue
             words = w.span(i, j, lower=True)
             for at, h in enumerate(B.grams(hashes[i:j], n).tolist()):
-                self.windows.setdefault((n, h), {}).setdefault(b" ".join(words[at : at + n]), set()).add(str(item))
+                known = self.windows.setdefault((n, h), {}).setdefault(b" ".join(words[at : at + n]), set())
+                if item is not None:
+                    known.add(str(item))
                 found.setdefault(n, set()).add(h)
         for n, keys in found.items():
             keys = np.array(sorted(keys), np.uint64)
@@ -57,7 +59,7 @@ class TestNgrams:
             near = near[keys[place] == h[near]]
             for p, key in zip(at[near].tolist(), h[near].tolist(), strict=True):
                 items = self.windows[n, key].get(b" ".join(w.span(p, p + n, lower=True)))
-                if items:
+                if items is not None:
                     out.append((p, n, items))
         return out
 
@@ -74,11 +76,12 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     broadcast whole; a larger benchmark goes in blocks of items of at most
     that size (a longer item alone), one scan of the documents each, and the
     ranges found so far go along. A null or empty text has no words and no
-    hits; items without words have no window; item ids may repeat.
+    hits; items without words have no window; item ids may repeat. Windows of
+    items with a null id cover words like any others, and name no item.
     """
     spark = docs.sparkSession
     ship(spark)
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     out = text_rows(docs, id_col, text_col)

@@ -162,6 +162,13 @@ def test_decontaminate(spark, odd, none):
     assert decontaminate.find(none, items).count() == 0
 
 
+def test_decontaminate_items_without_id(spark, odd):
+    items = spark.createDataFrame([(None, " ".join(f"w{i}" for i in range(100, 115))), (2, "six")], "item_id long, text string")
+    for size in (1 << 20, 8):
+        got = {r.doc_id: (r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.report(decontaminate.find(odd, items, block_bytes=size)).collect()}
+        assert got[5] == (15, 0, decontaminate.items_digest([]), True) and got[3] == (1, 1, decontaminate.items_digest(["2"]), True) and not got[1][3]
+
+
 def test_line_dedup(spark, odd, none):
     line = "the quick brown fox jumps over the lazy dog while forty other animals watch from far away in the green hills of the old country side"
     rows = [(1, f"{line}\nshort"), (2, f"own words that nobody else has at all\n{line.upper()}!"), (3, "short")]
