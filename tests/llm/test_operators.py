@@ -188,6 +188,20 @@ def test_line_dedup_of_all_lines(spark, tmp_path):
     assert {r.doc_id: r.n_removed for r in queries.op7_line_dedup(spark, str(tmp_path)).collect()} == {1: 0, 2: 2, 3: 3, 4: 0}
 
 
+def test_line_dedup_finds_small_edits(spark):
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnoprstu"), rng.integers(2, 9)))
+    rows = []
+    for k in range(60):
+        line = " ".join(word() for _ in range(rng.integers(6, 40)))
+        other = list(line)
+        for at in rng.choice(len(line), max(1, len(line) // 40), replace=False):
+            other[at] = "z"
+        rows += [(2 * k, line), (2 * k + 1, "".join(other))]
+    got = {r.doc_id: r.n_removed for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[2 * k] == 0 for k in range(60)) and sum(got[2 * k + 1] for k in range(60)) >= 59
+
+
 def test_substrings(spark, odd, none):
     rng = np.random.default_rng(5)
     base = ["".join(rng.choice(list("abcdé "), 300)) for _ in range(6)]
