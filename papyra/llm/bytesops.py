@@ -7,6 +7,7 @@ no Python string is made per word.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,10 +15,13 @@ import pyarrow as pa
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INV = pow(_BASE, -1, 1 << 64)
 _GRAM = 0xC2B2AE3D27D4EB4F | 1
-#: Bytes hashed at a time; bounds the working memory.
+#: Bytes worked on at a time; bounds the working memory.
 BLOCK = 1 << 20
+#: Ranges of more bytes are hashed one by one.
+LONG = 64
+#: Masks of the first 0 to 8 bytes of a little-endian word.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def _table(inside) -> np.ndarray:
@@ -35,11 +39,6 @@ ALNUM = _table(lambda b: 0x30 <= b <= 0x39 or 0x41 <= b <= 0x5A or 0x61 <= b <=
 LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.uint8)
 
 
-def _byte_values() -> np.ndarray:
-    x = (np.arange(1, 257, dtype=np.uint64) * U(0xD6E8FEB86659FD93))
-    return mix(x)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads every bit."""
     x = x ^ (x >> U(32))
@@ -49,21 +48,54 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(32))
 
 
-_VALUE = _byte_values()
-_powers: dict[int, np.ndarray] = {}
+#: Stretches of any length are hashed by polynomials modulo this prime at two points.
+PRIME = (1 << 31) - 1
+_POINTS = (0x4F1BBCDC, 0x2545F491)
+_tables: dict[tuple[int, int], np.ndarray] = {}
+
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    """Values below 2 ** 62 modulo PRIME."""
+    x = (x & PRIME) + (x >> 31)
+    x = (x & PRIME) + (x >> 31)
+    return np.where(x >= PRIME, x - PRIME, x)
+
 
+def _powers(base: int, n: int) -> np.ndarray:
+    """base ** 0 .. base ** (n - 1) modulo PRIME."""
+    size = 1 << max(12, int(n - 1).bit_length())
+    if (base, size) not in _tables:
+        out = np.ones(1, np.int64)
+        while len(out) < size:
+            out = np.concatenate([out, _fold(out * pow(base, len(out), PRIME))])
+        if size > 4 * BLOCK:
+            return out[:n]
+        _tables[base, size] = out
+    return _tables[base, size][:n]
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1) modulo 2 ** 64."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = 1 << max(12, int(n - 1).bit_length())
-        have = np.full(size, U(base), np.uint64)
-        have[0] = U(1)
-        have = np.cumprod(have, dtype=np.uint64)
-        if n <= 4 * BLOCK:
-            _powers[base] = have
-    return have[:n]
+
+class Stretches:
+    """Hashes of any byte ranges of ``data``, from running sums at two points."""
+
+    def __init__(self, data: np.ndarray):
+        self.n, self.sums = len(data), []
+        value = data.astype(np.int64) + 1
+        for x in _POINTS:
+            run = np.zeros(len(data) + 1, np.int64)
+            np.cumsum(_fold(value * _powers(x, len(data))), out=run[1:])
+            self.sums.append((run, _powers(pow(x, -1, PRIME), len(data) + 1)))
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        high, low = (_fold(_fold(run[end] - run[start]) * back[start]) for run, back in self.sums)
+        return mix((high.view(np.uint64) << U(31) | low.view(np.uint64)) + (end - start).astype(np.uint64) * U(_BASE))
+
+    def every(self, length: int) -> np.ndarray:
+        """The hash of each stretch of ``length`` bytes."""
+        m = self.n - length + 1
+        if m <= 0:
+            return np.zeros(0, np.uint64)
+        high, low = (_fold(_fold(run[length:] - run[:m]) * back[:m]) for run, back in self.sums)
+        return mix((high.view(np.uint64) << U(31) | low.view(np.uint64)) + U(length * _BASE & (1 << 64) - 1))
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -137,20 +169,25 @@ class Words:
 
 
 def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte range; the ranges are ascending and don't overlap."""
-    out = np.empty(len(start), np.uint64)
-    i = 0
-    while i < len(start):
-        j = max(i + 1, int(np.searchsorted(end, start[i] + BLOCK, "right")))
-        lo, hi = int(start[i]), int(end[j - 1])
-        run = np.empty(hi - lo + 1, np.uint64)
-        run[0] = 0
-        np.multiply(_VALUE[data[lo:hi]], powers(_BASE, hi - lo), out=run[1:])
-        np.cumsum(run, out=run)
-        s, e = start[i:j] - lo, end[i:j] - lo
-        h = (run[e] - run[s]) * powers(_BASE_INV, hi - lo + 1)[s]
-        out[i:j] = mix(h + (e - s).astype(np.uint64) * U(0xA24BAED4963EE407))
-        i = j
+    """A 64-bit hash of each byte range: eight bytes at a time are mixed in, ranges over LONG bytes take BLAKE2b.
+
+    Each step mixes all bits of the state, so no family of texts (such as
+    Thue-Morse words, which any polynomial modulo 2 ** 64 confuses) collides
+    more often than chance.
+    """
+    size = (end - start).astype(np.int64)
+    out = mix(size.astype(np.uint64) * U(0xA24BAED4963EE407) + U(_BASE))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eights = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+    left = np.flatnonzero(size <= LONG)
+    at = 0
+    while len(left):
+        left = left[size[left] > at]
+        word = eights[start[left] + at] & _FIRST[np.minimum(size[left] - at, 8)]
+        out[left] = mix((out[left] ^ word) * U(_GRAM) + U(at + 1))
+        at += 8
+    for k in np.flatnonzero(size > LONG).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[start[k] : end[k]], digest_size=8).digest(), "little")
     return out
 
 

@@ -42,23 +42,6 @@ def text_key(raw) -> int:
     return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
 
 
-def _prefix(data: np.ndarray) -> np.ndarray:
-    run = np.empty(len(data) + 1, np.uint64)
-    run[0] = 0
-    np.multiply(B._VALUE[data], B.powers(B._BASE, len(data)), out=run[1:])
-    return np.cumsum(run, out=run)
-
-
-def _hash(run: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return B.mix((run[end] - run[start]) * B.powers(B._BASE_INV, len(run))[start] + (end - start).astype(np.uint64))
-
-
-def _every(run: np.ndarray, length: int) -> np.ndarray:
-    """The hash of each stretch of ``length`` bytes."""
-    n = len(run) - length
-    return B.mix((run[length:] - run[:n]) * B.powers(B._BASE_INV, len(run))[:n] + B.U(length)) if n > 0 else np.zeros(0, np.uint64)
-
-
 def _extreme(h: np.ndarray, width: int, of=np.minimum) -> np.ndarray:
     """The minimum (or maximum) of each ``width`` values in a row."""
     size = 1
@@ -90,8 +73,8 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
     size = np.diff(offsets)
     if not len(size) or size.max() < length:
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64), np.zeros(0, bool))
-    run = _prefix(data)
-    grams = _every(run, gram)
+    run = B.Stretches(data)
+    grams = run.every(gram)
     low = _extreme(grams, length - gram + 1)
     long = np.flatnonzero(size >= length)
     step = np.zeros(len(low) + 1, np.int8)
@@ -105,7 +88,7 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
     start = p[first]
     text = np.searchsorted(offsets, start, "right") - 1
     at, again = _places(grams, np.where(inside, low, B.U(0)), start, m[first], length - gram + 1)
-    return text, start - offsets[text], count, m[first], _hash(run, start, start + count + length - 1), at - start, again
+    return text, start - offsets[text], count, m[first], run.of(start, start + count + length - 1), at - start, again
 
 
 def _segments(data: np.ndarray, offsets: np.ndarray, length: int):
@@ -170,14 +153,14 @@ def _cells(docs: DataFrame, stretches: DataFrame, length: int) -> DataFrame:
 
     def make(data, r):
         own = data[r["lo"] : r["lo"] + r["nw"] + length - 1]
-        run = _prefix(own)
+        run = B.Stretches(own)
         c = np.arange((r["at"] - r["nw"] + 1) // CELL, r["at"] // CELL + 1)
         last = r["at"] - CELL * c
         first = last - CELL + 1
         lo, hi = np.maximum(first, 0), np.minimum(last, r["nw"] - 1)
-        core = B.mix(_hash(run, last, first + length) + c.astype(np.uint64))
+        core = B.mix(run.of(last, first + length) + c.astype(np.uint64))
         all_ = (lo == first) & (hi == last)
-        span = np.where(all_, B.mix(_hash(run, lo, np.minimum(last + length, len(own))) + c.astype(np.uint64)) | B.U(1), B.U(0))
+        span = np.where(all_, B.mix(run.of(lo, np.minimum(last + length, len(own))) + c.astype(np.uint64)) | B.U(1), B.U(0))
         return core, span, np.full(len(c), r["cnt"]), r["lo"] + lo, hi - lo + 1
 
     return _from_texts(docs, stretches, make, "core long, span long, cnt long, lo long, nw long, t long")
@@ -187,7 +170,7 @@ def _windows(docs: DataFrame, parts: DataFrame, length: int) -> DataFrame:
     """The full-length rank of each window."""
 
     def make(data, r):
-        h = _every(_prefix(data[r["lo"] : r["lo"] + r["nw"] + length - 1]), length)
+        h = B.Stretches(data[r["lo"] : r["lo"] + r["nw"] + length - 1]).every(length)
         return h, np.full(r["nw"], r["cnt"]), r["lo"] + np.arange(r["nw"])
 
     return _from_texts(docs, parts, make, "wh long, cnt long, p long, t long")
