@@ -24,16 +24,18 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyra.llm import bytesops as B
 from papyra.llm.common import bitmap_of, in_bitmap, ship, text_rows
-from papyra.scratch import settle
+from papyra.scratch import release, settle
 
 RUNS = "t long, g long, bh long, nw int, lo long, at int, again boolean"
 #: Windows that are ranked together first.
 CELL = 16
+#: Bytes worked on at a time; bounds the working memory of a task.
+PART = B.BLOCK // 4
 _BIG = 2**63 - 1
 
 
@@ -93,12 +95,12 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
 
 def _segments(data: np.ndarray, offsets: np.ndarray, length: int):
     """Runs of short texts, or parts of a long one that overlap so that each window is in one: first text, place, bytes, offsets."""
-    for i, j, piece, off in B.pieces(data, offsets, B.BLOCK):
-        if len(piece) <= 2 * B.BLOCK or j - i > 1:
+    for i, j, piece, off in B.pieces(data, offsets, PART):
+        if len(piece) <= 2 * PART or j - i > 1:
             yield i, 0, piece, off
             continue
-        for at in range(0, len(piece) - length + 1, B.BLOCK):
-            part = piece[at : at + B.BLOCK + length - 1]
+        for at in range(0, len(piece) - length + 1, PART):
+            part = piece[at : at + PART + length - 1]
             yield i, at, part, np.array([0, len(part)])
 
 
@@ -122,11 +124,12 @@ def _batch(t, g, bh, nw, lo, at, again):
     return pa.RecordBatch.from_arrays([pa.array(t), pa.array(g), pa.array(bh), pa.array(nw.astype(np.int32)), pa.array(lo), pa.array(at.astype(np.int32)), pa.array(again)], names=[c.split()[0] for c in RUNS.split(", ")])
 
 
-def _from_texts(docs: DataFrame, parts: DataFrame, make, schema: str) -> DataFrame:
-    """``make(bytes, part)`` for each of ``parts`` (t, doc and what make needs), read from one text of its key t."""
+def _from_texts(docs: DataFrame, parts: DataFrame, make, schema: str, length: int) -> DataFrame:
+    """``make(hashes, base, parts)`` for the parts (t, doc, lo, nw and what make needs) of each text, read from one text of its key t; hashes are of the text's bytes from ``base`` on."""
     parts = settle(parts, "substring-parts")
     wanted = docs.sparkSession.sparkContext.broadcast(bitmap_of(parts.select(F.expr("t ^ doc").alias("k")), "k"))
     names = [c.split()[0] for c in schema.split(", ")]
+    fields = [c for c in parts.columns if c not in ("t", "doc")]
 
     def pick(batches):
         for b in batches:
@@ -136,44 +139,79 @@ def _from_texts(docs: DataFrame, parts: DataFrame, make, schema: str) -> DataFra
             hit = pa.array(np.flatnonzero(in_bitmap(wanted.value, (keys ^ ids).view(np.uint64))))
             yield pa.RecordBatch.from_arrays([pa.array(keys).take(hit), b.column("text").take(hit)], names=["t", "text"])
 
+    def batch(t, out):
+        return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in out), pa.array(np.full(len(out[0]), t, np.int64))], names=names)
+
     def run(batches):
         for b in batches:
             data, offsets = B.utf8(b.column("text"))
-            for t, s, rows in zip(b.column("t").to_pylist(), offsets[:-1].tolist(), b.column("parts"), strict=True):
-                out = [make(data[s:], r) for r in rows.as_py()]
-                columns = [np.concatenate([x[k] for x in out]) for k in range(len(names) - 1)]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c.view(np.int64)) for c in columns), pa.array(np.full(len(columns[0]), t, np.int64))], names=names)
+            at, values = _lists(b.column("parts"), fields)
+            for k, t in enumerate(b.column("t").to_numpy().tolist()):
+                own = {f: v[at[k] : at[k + 1]] for f, v in values.items()}
+                size = int(offsets[k + 1] - offsets[k])
+                if size <= 2 * PART:
+                    yield batch(t, make(B.Stretches(data[offsets[k] : offsets[k + 1]]), 0, own))
+                    continue
+                for i in range(len(own["lo"])):  # of a long text only the parts' own bytes
+                    one = {f: v[i : i + 1] for f, v in own.items()}
+                    lo, end = int(one["lo"][0]), int(one["lo"][0] + one["nw"][0]) + length - 1
+                    yield batch(t, make(B.Stretches(data[offsets[k] + lo : offsets[k] + end]), lo, one))
+
+    grouped = parts.groupBy("t").agg(F.collect_list(F.struct(*fields)).alias("parts"))
+    out = settle(docs.mapInArrow(pick, "t long, text string").join(grouped, "t").select("t", "text", "parts").mapInArrow(run, schema), "substring-ranks")
+    release(parts)
+    return out
+
 
-    grouped = parts.groupBy("t").agg(F.collect_list(F.struct(*[c for c in parts.columns if c not in ("t", "doc")])).alias("parts"))
-    return settle(docs.mapInArrow(pick, "t long, text string").join(grouped, "t").select("t", "text", "parts").mapInArrow(run, schema), "substring-ranks")
+def _lists(column: pa.Array, fields: list[str]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Of a column of lists of structs: where each row's begin, and each field's values; a null list is empty."""
+    lengths = np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+    flat = column.flatten()
+    return np.concatenate([[0], np.cumsum(lengths)]), {f: flat.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in fields}
+
+
+def _spread(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows that stand for several: the row of each and its number in it."""
+    k = np.repeat(np.arange(len(count)), count)
+    return k, np.arange(len(k)) - (np.cumsum(count) - count)[k]
 
 
 def _cells(docs: DataFrame, stretches: DataFrame, length: int) -> DataFrame:
     """Windows by their distance to their smallest gram, CELL to a row: ranks of the bytes that all of a cell's windows share and, if all CELL windows are in the run, of the bytes they span together (else 0)."""
 
-    def make(data, r):
-        own = data[r["lo"] : r["lo"] + r["nw"] + length - 1]
-        run = B.Stretches(own)
-        c = np.arange((r["at"] - r["nw"] + 1) // CELL, r["at"] // CELL + 1)
-        last = r["at"] - CELL * c
+    def make(run, base, r):
+        begin = (r["at"] - r["nw"] + 1) // CELL
+        k, i = _spread(r["at"] // CELL - begin + 1)
+        c, lo, nw = begin[k] + i, r["lo"][k] - base, r["nw"][k]
+        last = r["at"][k] - CELL * c
         first = last - CELL + 1
-        lo, hi = np.maximum(first, 0), np.minimum(last, r["nw"] - 1)
-        core = B.mix(run.of(last, first + length) + c.astype(np.uint64))
-        all_ = (lo == first) & (hi == last)
-        span = np.where(all_, B.mix(run.of(lo, np.minimum(last + length, len(own))) + c.astype(np.uint64)) | B.U(1), B.U(0))
-        return core, span, np.full(len(c), r["cnt"]), r["lo"] + lo, hi - lo + 1
+        low, high = np.maximum(first, 0), np.minimum(last, nw - 1)
+        core = B.mix(run.of(lo + last, lo + first + length) + c.astype(np.uint64))
+        whole = (low == first) & (high == last)
+        span = np.where(whole, B.mix(run.of(lo + low, lo + np.minimum(last, nw - 1) + length) + c.astype(np.uint64)) | B.U(1), B.U(0))
+        return core, span, r["cnt"][k], base + lo + low, high - low + 1
 
-    return _from_texts(docs, stretches, make, "core long, span long, cnt long, lo long, nw long, t long")
+    return _from_texts(docs, stretches, make, "core long, span long, cnt long, lo long, nw long, t long", length)
 
 
 def _windows(docs: DataFrame, parts: DataFrame, length: int) -> DataFrame:
     """The full-length rank of each window."""
 
-    def make(data, r):
-        h = B.Stretches(data[r["lo"] : r["lo"] + r["nw"] + length - 1]).every(length)
-        return h, np.full(r["nw"], r["cnt"]), r["lo"] + np.arange(r["nw"])
+    def make(run, base, r):
+        k, i = _spread(r["nw"])
+        p = r["lo"][k] + i
+        return run.of(p - base, p - base + length), r["cnt"][k], p
+
+    return _from_texts(docs, parts, make, "wh long, cnt long, p long, t long", length)
+
 
-    return _from_texts(docs, parts, make, "wh long, cnt long, p long, t long")
+def _merged(ranges: DataFrame) -> DataFrame:
+    """(t, cuts) from ranges (t, lo, hi) of bytes: those that overlap or touch as one, in order."""
+    order = Window.partitionBy("t").orderBy("lo", "hi")
+    reach = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    span = ranges.withColumn("new", F.when(F.col("lo") <= reach, 0).otherwise(1)).withColumn("k", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    each = span.groupBy("t", "k").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return each.groupBy("t").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("cuts"))
 
 
 def _often(rows: DataFrame, key: str) -> DataFrame:
@@ -182,37 +220,42 @@ def _often(rows: DataFrame, key: str) -> DataFrame:
 
 
 def repeated(docs: DataFrame, length: int = 200, gram: int = 32) -> DataFrame:
-    """(t, whole, starts, full) per text with repeated windows: whole if the text itself repeats, else the starts of repeated windows and of runs of them."""
+    """(t, whole, cuts) per text with repeated windows: whole if the text itself repeats, else the ranges of bytes that such windows cover."""
     rows = settle(_runs(docs, length, gram), "substring-runs")
     texts = settle(rows.filter("nw < 0").groupBy("t").agg(F.count("*").alias("mult"), F.min("g").alias("doc"), F.max("bh").alias("size")), "substring-texts")
-    runs = rows.filter("nw > 0")
-    shared = runs.groupBy("g").agg(F.count("*").alias("total"), F.max("again").alias("again")).filter("total > 1 or again").select("g")
-    runs = settle(runs.join(shared, "g"), "substring-shared")
+    found = rows.filter("nw > 0")
+    shared = found.groupBy("g").agg(F.count("*").alias("total"), F.max("again").alias("again")).filter("total > 1 or again").select("g")
+    runs = settle(found.join(shared, "g"), "substring-shared")
+    release(rows)
     # One row for each stretch: how often it occurs, and one place.
-    each = settle(runs.groupBy("g", "bh", "nw").agg(F.count("*").alias("cnt"), F.min(F.struct("t", "lo", "at")).alias("one"), F.max("again").alias("again")), "substring-each")
-    each = each.select("g", "bh", "nw", "cnt", F.col("one.t").alias("t"), F.col("one.lo").alias("lo"), F.col("one.at").alias("at"), "again")
+    each = settle(runs.groupBy("g", "bh", "nw").agg(F.count("*").alias("cnt"), F.min(F.struct("t", "lo", "at")).alias("one"), F.max("again").alias("again")).select("g", "bh", "nw", "cnt", "one.t", "one.lo", "one.at", "again"), "substring-each")
     # In doubt: stretches of a gram of which some occur once, if it has others or stands more than once in one.
     open_ = each.groupBy("g").agg(F.count("*").alias("kinds"), F.min("cnt").alias("least"), F.max("again").alias("some")).filter("least = 1 and (kinds > 1 or some)").select("g", "some")
-    doubt = settle(each.join(open_, "g").join(texts.select("t", "doc"), "t").select("t", "doc", "lo", "nw", "at", "cnt", "some"), "substring-doubt")
+    doubt = settle(each.join(open_, "g").join(texts.select("t", "doc"), "t").select("t", "doc", "lo", F.col("nw").cast("long").alias("nw"), "at", "cnt", "some"), "substring-doubt")
     cells = _cells(docs, doubt.filter("not some").drop("some"), length)
     alive = settle(cells.join(_often(cells, "core"), "core"), "substring-cells")
-    spans = _often(alive.filter("span <> 0"), "span").withColumn("sure", F.lit(True))
-    alive = settle(alive.join(spans, "span", "left").withColumn("sure", F.coalesce("sure", F.lit(False))), "substring-alive")
-    unsure = alive.filter("cnt = 1 and not sure").select("core").distinct()
+    release(cells)
+    # Cells at the ends of a run have no span, and would all meet in one task.
+    spanned, ends = alive.filter("span <> 0"), alive.filter("span = 0").withColumn("sure", F.lit(False))
+    spans = _often(spanned, "span").withColumn("sure", F.lit(True))
+    known = settle(spanned.join(spans, "span", "left").withColumn("sure", F.coalesce("sure", F.lit(False))).unionByName(ends), "substring-alive")
+    release(alive)
+    unsure = known.filter("cnt = 1 and not sure").select("core").distinct()
     # Equal spans go on as one.
-    rest = alive.join(unsure, "core")
+    rest = known.join(unsure, "core")
     once = rest.filter("span = 0").select("t", "lo", "nw", "cnt")
     merged = rest.filter("span <> 0").groupBy("core", "span").agg(F.sum("cnt").alias("cnt"), F.min(F.struct("t", "lo", "nw")).alias("one")).select("one.t", "one.lo", "one.nw", "cnt")
     fine = once.unionByName(merged).join(texts.select("t", "doc"), "t").select("t", "doc", "lo", "nw", "cnt")
-    windows = _windows(docs, fine.unionByName(doubt.filter("some").select("t", "doc", "lo", F.col("nw").cast("long").alias("nw"), "cnt")), length)
-    points = windows.filter("cnt = 1").join(_often(windows, "wh"), "wh").groupBy("t").agg(F.collect_list("p").alias("starts"))
+    windows = _windows(docs, fine.unionByName(doubt.filter("some").select("t", "doc", "lo", "nw", "cnt")), length)
     single = texts.filter("mult = 1").select("t")
+    points = windows.filter("cnt = 1").join(_often(windows, "wh"), "wh").select("t", F.col("p").alias("lo"), (F.col("p") + length).alias("hi"))
     often = each.filter("cnt > 1").select("g", "bh", "nw")
-    full = runs.join(single, "t", "left_semi").join(often, ["g", "bh", "nw"]).select("t", "lo", F.col("nw").cast("long").alias("nw")).unionByName(alive.filter("cnt = 1 and sure").select("t", "lo", "nw"))
-    full = full.groupBy("t").agg(F.collect_list(F.struct("lo", "nw")).alias("full"))
+    full = runs.join(single, "t", "left_semi").join(often, ["g", "bh", "nw"]).select("t", "lo", F.col("nw").cast("long").alias("nw")).unionByName(known.filter("cnt = 1 and sure").select("t", "lo", "nw"))
+    cuts = _merged(points.unionByName(full.select("t", "lo", (F.col("lo") + F.col("nw") + length - 1).alias("hi")))).join(single, "t", "left_semi")
     whole = texts.filter(f"mult > 1 and size >= {length}").select("t", F.lit(True).alias("whole"))
-    out = points.join(full, "t", "full").join(single, "t", "left_semi").withColumn("whole", F.lit(False)).unionByName(whole, allowMissingColumns=True)
-    return settle(out.select("t", "whole", "starts", "full"), "substring-repeated")
+    out = settle(cuts.withColumn("whole", F.lit(False)).unionByName(whole, allowMissingColumns=True).select("t", "whole", "cuts"), "substring-repeated")
+    release(texts, runs, each, doubt, known, windows)
+    return out
 
 
 def dedup(docs: DataFrame, length: int = 200, gram: int = 32, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = True) -> DataFrame:
@@ -241,22 +284,23 @@ def dedup(docs: DataFrame, length: int = 200, gram: int = 32, id_col: str = "doc
 
     def finish(batches):
         for b in batches:
-            out = []
-            for n, sha, held, whole, starts, full in zip(*(b.column(c).to_pylist() for c in ("n_bytes", "sha", "held", "whole", "starts", "full")), strict=True):
-                if whole:
-                    out.append((n, 1, hashlib.sha256(b"").hexdigest(), b"" if keep_bytes else None))
+            data, offsets = B.utf8(b.column("held"))
+            at, cuts = _lists(b.column("cuts"), ["lo", "hi"])
+            whole, sizes, out = b.column("whole").to_numpy(zero_copy_only=False), b.column("n_bytes").to_numpy(), []
+            for k, sha in enumerate(b.column("sha").to_pylist()):
+                if whole[k]:
+                    out.append((int(sizes[k]), 1, hashlib.sha256(b"").hexdigest(), b"" if keep_bytes else None))
                     continue
-                if not starts and not full:
-                    out.append((0, 0, sha or hashlib.sha256(held).hexdigest(), held if keep_bytes else None))
+                own, lo, hi = data[offsets[k] : offsets[k + 1]], cuts["lo"][at[k] : at[k + 1]], cuts["hi"][at[k] : at[k + 1]]
+                if not len(lo):
+                    out.append((0, 0, sha or hashlib.sha256(own).hexdigest(), own.tobytes() if keep_bytes else None))
                     continue
-                lo = np.array([*(starts or ()), *(r["lo"] for r in full or ())], np.int64)
-                hi = np.array([*(p + length for p in starts or ()), *(r["lo"] + r["nw"] + length - 1 for r in full or ())], np.int64)
-                gone = np.cumsum(np.bincount(lo, minlength=n + 1) - np.bincount(hi, minlength=n + 1))[:n] > 0
-                kept = np.frombuffer(held, np.uint8)[~gone].tobytes()
-                spans = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
-                out.append((int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept if keep_bytes else None))
+                ends = zip([0, *hi.tolist()], [*lo.tolist(), len(own)], strict=True)
+                kept = b"".join(own[x:y].tobytes() for x, y in ends)
+                out.append((int((hi - lo).sum()), len(lo), hashlib.sha256(kept).hexdigest(), kept if keep_bytes else None))
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), *(pa.array(list(x), k) for x, k in zip(zip(*out, strict=True), kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     marked = rows.mapInArrow(mark, "doc_id long, t long, n_bytes long, sha string, held binary")
-    return marked.join(found, "t", "left").select("doc_id", "n_bytes", "sha", "held", F.coalesce("whole", F.lit(False)).alias("whole"), "starts", "full").mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    joined = marked.join(found, "t", "left").select("doc_id", "n_bytes", "sha", "held", F.coalesce("whole", F.lit(False)).alias("whole"), "cuts")
+    return joined.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
