@@ -139,9 +139,11 @@ def _pair(rows: DataFrame, a: str, b: str) -> DataFrame:
     return rows.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
 
 
-def _with_pivot(rows: DataFrame, fits, r: int) -> DataFrame:
-    head = rows.groupBy("sig").agg(F.min(F.struct(F.xxhash64("node", F.lit(r)).alias("h"), "node", "n", "c")).alias("p"))
-    return _pair(rows.join(head, "sig").filter((F.col("c") != F.col("p.c")) & fits(F.col("n"), F.col("p.n"))), "node", "p.node")
+def _with_pivot(rows: DataFrame, fits, odd, one: bool) -> DataFrame:
+    """Each node with the least odd one of each of its buckets, or of all of them together if ``one``."""
+    head = rows.groupBy("sig").agg(F.min(F.struct(odd(F.col("n")).alias("odd"), F.xxhash64("node").alias("h"), "node", "n", "c")).alias("p"))
+    met = rows.join(head, "sig").filter((F.col("c") != F.col("p.c")) & fits(F.col("n"), F.col("p.n")))
+    return _pair(met.groupBy("node").agg(F.min("p").alias("p")) if one else met, "node", "p.node")
 
 
 def _in_ring(rows: DataFrame, fits, r: int) -> DataFrame:
@@ -157,17 +159,18 @@ def _all_left(rows: DataFrame, fits) -> DataFrame:
     return _pair(x.join(y, "sig").filter((F.col("c1") < F.col("c2")) & fits(F.col("n1"), F.col("n2"))), "node1", "node2")
 
 
-def bucket_links(signatures: DataFrame, fits, verify, name: str) -> DataFrame:
+def bucket_links(signatures: DataFrame, fits, verify, name: str, odd=lambda n: F.lit(0)) -> DataFrame:
     """(node, root) of all nodes with a link, from rows (sig, node, n): nodes that link share a signature.
 
     ``fits(n, m)`` tells which sizes can link, ``verify(pairs)`` adds to pairs
-    (a, b) whether they do. A large bucket isn't expanded into pairs: its nodes
-    meet one pivot first, which joins copies of one text, then some others
-    each, which joins groups whose texts differ among each other. Once few
-    pairs are left in different components, or a ring spares less than half
-    of them, a last round compares them all, exactly. Pairs inside one component are skipped,
-    as their links change nothing. A settled table of signatures is deleted
-    once read.
+    (a, b) whether they do, ``odd(n)`` how unlike a bucket's others a node is
+    (the least odd one is the pivot). A large bucket isn't expanded into pairs:
+    its nodes meet one pivot first, then that of each bucket, which joins
+    copies of one text, then some others each, which joins groups whose texts
+    differ among each other. Once few pairs are left in different components,
+    or a ring spares less than half of them, a last round compares them all,
+    exactly. Pairs inside one component are skipped, as their links change
+    nothing. A settled table of signatures is deleted once read.
     """
     tested, comp, rows, before, r = None, None, signatures, 0, 0
     while True:
@@ -176,8 +179,8 @@ def bucket_links(signatures: DataFrame, fits, verify, name: str) -> DataFrame:
         n, left = _pairs_left(rows)
         if comp is not None and not n:
             break
-        end = left <= EACH * n or (r > 1 and left > 0.5 * before)
-        pairs = _all_left(rows, fits) if end else _in_ring(rows, fits, r) if r else _with_pivot(rows, fits, r)
+        end = r > 0 and (left <= EACH * n or (r > 2 and left > 0.5 * before))
+        pairs = _all_left(rows, fits) if end else _in_ring(rows, fits, r) if r > 1 else _with_pivot(rows, fits, odd, one=r == 0)
         pairs = pairs.distinct()
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
