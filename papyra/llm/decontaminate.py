@@ -23,44 +23,45 @@ _OUT = "doc_id long, text string, n_words long, hit_start array<long>, hit_end a
 
 
 class TestNgrams:
-    """The windows of benchmark items, by length and hash."""
+    """The windows of benchmark items, by length: sorted hashes with the place and the item of each, over one buffer of normalised words."""
 
     def __init__(self, ids: list, texts: list, window: int = WINDOW):
-        self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        self.windows: dict[tuple[int, int], dict[bytes, set[str]]] = {}
         data, offsets = B.utf8(pa.array(texts, pa.large_string()))
         w = B.Words(data, offsets, B.ALNUM)
-        hashes, found = w.hashes(lower=True), {}
-        for k, item in enumerate(ids):
-            i, j = int(w.first[k]), int(w.first[k + 1])
-            n = min(window, j - i)
-            if not n:
-                continue
-            words = w.span(i, j, lower=True)
-            for at, h in enumerate(B.grams(hashes[i:j], n).tolist()):
-                known = self.windows.setdefault((n, h), {}).setdefault(b" ".join(words[at : at + n]), set())
-                if item is not None:
-                    known.add(str(item))
-                found.setdefault(n, set()).add(h)
-        for n, keys in found.items():
-            keys = np.array(sorted(keys), np.uint64)
+        hashes, size = w.hashes(lower=True), w.end - w.start
+        self.ids = ids
+        # The words with one space between, so that any window is a slice.
+        self.begin = np.cumsum(size + 1) - size - 1
+        self.end = self.begin + size
+        self.text = np.full(int(size.sum()) + len(w), 0x20, np.uint8)
+        place = np.flatnonzero(B.ALNUM[data])
+        self.text[place + np.repeat(self.begin - w.start, size)] = B.LOWER[data[place]]
+        length = np.minimum(w.count, window)
+        self.by_length: dict[int, tuple[np.ndarray, ...]] = {}
+        for n in np.unique(length[length > 0]).tolist():
+            start, count = B.gram_texts(w.first, n)
+            item = np.repeat(np.arange(len(count)), count)
+            start, item = start[length[item] == n], item[length[item] == n].astype(np.int32)
+            keys = B.grams(hashes, n)[start]
+            order = np.argsort(keys, kind="stable")
             table = np.zeros(1 << _BITS, bool)
             table[(keys & B.U((1 << _BITS) - 1)).astype(np.int64)] = True
-            self.by_length[n] = keys, table
+            self.by_length[n] = keys[order], start[order], item[order], table
 
     def hits(self, w: B.Words) -> list[tuple[int, int, set[str]]]:
         """Each place (first word, words) of a run of texts where a window occurs, with the items that have it."""
         hashes, out = w.hashes(lower=True), []
-        for n, (keys, table) in self.by_length.items():
+        for n, (keys, start, item, table) in self.by_length.items():
             at, _ = B.gram_texts(w.first, n)
             h = B.grams(hashes, n)[at]
             near = np.flatnonzero(table[(h & B.U((1 << _BITS) - 1)).astype(np.int64)])
-            place = np.minimum(np.searchsorted(keys, h[near]), len(keys) - 1)
-            near = near[keys[place] == h[near]]
-            for p, key in zip(at[near].tolist(), h[near].tolist(), strict=True):
-                items = self.windows[n, key].get(b" ".join(w.span(p, p + n, lower=True)))
-                if items is not None:
-                    out.append((p, n, items))
+            lo, hi = np.searchsorted(keys, h[near], "left"), np.searchsorted(keys, h[near], "right")
+            some = hi > lo
+            for p, x, y in zip(at[near[some]].tolist(), lo[some].tolist(), hi[some].tolist(), strict=True):
+                own = b" ".join(w.span(p, p + n, lower=True))
+                same = [k for k in range(x, y) if self.text[self.begin[start[k]] : self.end[start[k] + n - 1]].tobytes() == own]
+                if same:
+                    out.append((p, n, {str(self.ids[item[k]]) for k in same if self.ids[item[k]] is not None}))
         return out
 
 
@@ -69,7 +70,7 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, block_bytes: int = 32 << 20) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, block_bytes: int = 8 << 20) -> DataFrame:
     """Every document with the word ranges that benchmark windows cover and the items they come from.
 
     The benchmark's texts are measured first. What fits in ``block_bytes`` is
