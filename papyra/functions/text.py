@@ -106,3 +106,44 @@ def classify(label: Column, rules: list[tuple[str, str]], default: str | None =
     for pattern, value in rules:
         out = F.when(label.rlike(pattern), value) if out is None else out.when(label.rlike(pattern), value)
     return F.lit(default) if out is None else out.otherwise(default)
+
+
+def is_integer(c: Column) -> Column:
+    """Whether a number has no fraction; null is none."""
+    return F.coalesce(c == F.floor(c), F.lit(False))
+
+
+def is_finite(c: Column) -> Column:
+    """Whether a number is neither null, NaN nor infinite."""
+    x = c.cast("double")
+    return F.coalesce(~F.isnan(x) & (F.abs(x) != float("inf")), F.lit(False))
+
+
+def short_year(text: Column, fallback: Column) -> Column:
+    """The first date with a year of two digits (yy. m. d) as 20yy-mm-dd, else the fallback."""
+    p = r"(?<![0-9])([0-9]{2})\s*[./-]\s*([0-9]{1,2})\s*[./-]\s*([0-9]{1,2})(?![0-9])"
+    part = lambda k: F.lpad(F.regexp_extract(text, p, k), 2, "0")
+    return F.when(text.rlike(p), F.concat(F.lit("20"), part(1), F.lit("-"), part(2), F.lit("-"), part(3))).otherwise(fallback)
+
+
+def years_between(start: Column, end: Column) -> Column:
+    """Years from one ISO date to another, by whole and part months."""
+    return F.months_between(end.cast("date"), start.cast("date")) / 12
+
+
+def literal(token: Column) -> Column:
+    r"""A pattern that matches the token itself, quotes (\Q, \E) inside included."""
+    return F.concat(F.lit("\\Q"), F.replace(token, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+
+
+def slashes(path: Column) -> Column:
+    """Back slashes of a path as slashes."""
+    return F.replace(path, F.lit("\\"), F.lit("/"))
+
+
+def rate_complement(rate: Column, digits: int = 4) -> Column:
+    return F.round(1 - rate, digits)
+
+
+def preview(text: Column, n: int = 500) -> Column:
+    return F.left(text, F.lit(n))

@@ -19,9 +19,11 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder, or one made for this application if none is named."""
+    """The cluster's checkpoint folder; where none is named, a folder made for this application if it runs on one machine, else an error."""
     named = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY)
     if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError(f"{_KEY} must name a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         named = _own.setdefault(app, None) or tempfile.mkdtemp(prefix="papyra-")
         _own[app] = named
