@@ -114,7 +114,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(data: np.ndarray, offsets: np.ndarray, limit: int = 2 * BLOCK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def pieces(data: np.ndarray, offsets: np.ndarray, limit: int = BLOCK // 2) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of whole texts of about ``limit`` bytes: first and last text, their bytes and offsets."""
     i, n = 0, len(offsets) - 1
     while i < n:
