@@ -10,11 +10,14 @@ from papyra.llm.queries import table, tokenizer_file
 from papyra.scratch import new_path, settle
 
 _ID = "__pipeline_id"
+#: Up to so many ids (8 bytes each) are broadcast; more are joined by exchange.
+SMALL = 1_000_000
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose id is among ``ids`` (nulls match nulls), with their own columns."""
-    wanted = ids.select(F.col("doc_id").alias(_ID)).distinct()
+    wanted = settle(ids.select(F.col("doc_id").alias(_ID)).distinct(), "pipeline-ids")
+    wanted = F.broadcast(wanted) if wanted.count() <= SMALL else wanted
     return docs.join(wanted, docs["doc_id"].cast("long").eqNullSafe(wanted[_ID]), "left_semi")
 
 
