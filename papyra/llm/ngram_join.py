@@ -185,6 +185,8 @@ def _cores(sets: DataFrame, percent: int) -> DataFrame:
     """(node, n, core, odd): sets whose core is large enough to link; ``odd`` counts the tokens that at most one other holds."""
     now = sets.select("node", F.size("tokens").alias("n"), F.col("tokens").alias("core"), F.lit(0).alias("odd"))
     size = now.count()
+    if not size:
+        return settle(now, "jaccard-cores")
     while size:
         held = now.select("node", F.explode("core").alias("sig")).groupBy("sig").agg(F.count("*").alias("cnt"), F.min("node").alias("a"), F.max("node").alias("b")).filter("cnt < 3")
         of = held.select("sig", "cnt", F.explode(F.array_distinct(F.array("a", "b"))).alias("node"))
