@@ -147,3 +147,8 @@ def rate_complement(rate: Column, digits: int = 4) -> Column:
 
 def preview(text: Column, n: int = 500) -> Column:
     return F.left(text, F.lit(n))
+
+
+def korean(c):
+    """The column compared and sorted as a Korean dictionary does."""
+    return F.collate(c, "ko")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyra.functions import text as T
+from papyra.operators import audit as A
 from papyra.operators import evidence as E
 from papyra.operators import validation as V
 
@@ -223,6 +224,66 @@ def fund_filter(spark, sf):
     return f.select("fund_id", "risk_grade", (F.col("inception_scheduled_date") > "1996").alias("late"))
 
 
+_CORE = ["system", "user", "assistant"]
+_FACTS = """b as (select *, coalesce(trim(cast(source_text as string)), '') = '' as e, coalesce(trim(cast(source_text as string)), '') = '' or source_page is null or source_doc_id is null as lost from m_chunks),
+h as (select source_doc_id, sha256(source_text) as h, count(*) as n from b where not e group by 1, 2),
+s as (select source_doc_id, min(case when k = 3 then 1 else 0 end) as whole from (select source_doc_id, count(distinct case when section in ('system', 'user', 'assistant') then section end) as k from m_chunks group by 1) group by 1),
+f as (select 'documents_total' as metric, count(*) as value from m_documents union all select 'pages_total', cast(coalesce(sum(total_pages), 0) as bigint) from m_documents
+union all select 'chunks_total', count(*) from m_chunks union all select 'empty_chunks', count(*) from b where e union all select 'missing_provenance_chunks', count(*) from b where lost
+union all select 'source_issue_chunks', count(issue_id) from m_chunks union all select 'pages_selected', count(*) from (select distinct source_doc_id, source_page from m_chunks where source_doc_id is not null and source_page is not null)
+union all select 'within_document_duplicate_hash_groups', count(*) from h where n > 1 union all select 'cross_document_duplicate_hash_groups', count(*) from (select h from h group by 1 having count(*) > 1)
+union all select 'documents_chunked', count(*) from m_documents where doc_id in (select source_doc_id from s) union all select 'documents_without_chunks', count(*) from m_documents where doc_id not in (select source_doc_id from s where source_doc_id is not null)
+union all select 'documents_missing_core_sections', count(*) from m_documents d join s on s.source_doc_id = d.doc_id where whole = 0)
+"""
+
+
+@query("," + _FACTS + "select metric, value from f", "documents", "chunks")
+def chunk_facts(spark, sf):
+    """All of a chunk table's audit figures."""
+    m = model(spark, sf, "documents", "chunks")
+    return A.chunk_facts(m["documents"], m["chunks"], _CORE)
+
+
+@query("," + _FACTS + """select r.rule_id, r.metric, f.value, r.expected from (values ('V62', 'documents_total', (select count(*) from m_documents)), ('V63', 'documents_chunked', (select count(*) from m_documents)),
+('V64', 'chunks_total', (select count(*) from m_chunks)), ('V65', 'source_issue_chunks', (select count(*) from m_issues)), ('V66', 'empty_chunks', 0), ('V67', 'missing_provenance_chunks', 0),
+('V68', 'within_document_duplicate_hash_groups', 0), ('V69', 'documents_without_chunks', 0), ('V70', 'documents_missing_core_sections', 0)) r(rule_id, metric, expected)
+join f on f.metric = r.metric where f.value <> r.expected""", "documents", "chunks", "issues")
+def rules_audit(spark, sf):
+    """V62 to V70 on the audit of the chunk table."""
+    m = model(spark, sf, "documents", "chunks", "issues")
+    return A.audit_violations(spark, A.chunk_facts(m["documents"], m["chunks"], _CORE), m)
+
+
+@query("""select p_partkey, segment from part, (values ('steel', 'STEEL'), ('tin', 'TIN|NICKEL'), ('promo', 'PROMO|ECONOMY'), ('plated', 'PLATED')) s(segment, pattern)
+where regexp_matches(concat_ws(' ', p_name, p_type), pattern)""")
+def fund_segments(spark, sf):
+    """Q7 to Q10: records by patterns over several columns."""
+    return A.segments(spark.read.parquet(f"{sf}/part.parquet"), "p_partkey", ["p_name", "p_type"], {"steel": "STEEL", "tin": "TIN|NICKEL", "promo": "PROMO|ECONOMY", "plated": "PLATED"})
+
+
+@query("""select f.fund_id, f.risk_grade, a.amount, coalesce(c.n, 0) as n_classes from m_funds f left join m_aum a on a.fund_id = f.fund_id
+left join (select fund_id, count(*) as n from m_classes group by 1) c on c.fund_id = f.fund_id""", "funds", "aum", "classes")
+def fund_card(spark, sf):
+    """Q4 and Q6: classes and amount of each fund."""
+    m = model(spark, sf, "funds", "aum", "classes")
+    counted = m["classes"].groupBy("fund_id").agg(F.count("*").alias("n"))
+    return m["funds"].join(m["aum"], "fund_id", "left").join(counted, "fund_id", "left").select("fund_id", "risk_grade", "amount", F.coalesce("n", F.lit(0)).alias("n_classes"))
+
+
+@query("""select category, rows, filled, case when filled = 0 then 'NOT_READY' when filled < rows then 'PARTIAL' else 'READY' end as status from (
+select 'risk' as category, count(*) as rows, count(risk_grade) as filled from m_funds union all select 'inception', count(*), count(nullif(inception_date, '')) from m_funds
+union all select 'scheduled', count(*), count(nullif(inception_scheduled_date, '')) from m_funds union all select 'evidence', count(*), count(nullif(source_text, '')) from m_funds)""", "funds")
+def question_readiness(spark, sf):
+    """How far the fields behind each kind of question are filled."""
+    return A.readiness(model(spark, sf, "funds")["funds"], {"risk": "risk_grade", "inception": "inception_date", "scheduled": "inception_scheduled_date", "evidence": "source_text"})
+
+
+@query("select issue_id, source_doc_id, affected_field, concat(coalesce(reason, ''), ' [', coalesce(status, ''), '; ', coalesce(official_confirmation, ''), ']') as reason from m_issues", "issues")
+def issue_reasons(spark, sf):
+    """The short form of the issue registry."""
+    return A.issue_reasons(model(spark, sf, "issues")["issues"])
+
+
 def queries() -> dict:
     return dict(_Q)
 
