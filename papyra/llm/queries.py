@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.llm import chat, decontaminate, language, licenses, line_dedup, mixing, ngram_join, quality, substrings, tokens
+from papyra.llm import chat, decontaminate, filter_audit, language, licenses, line_dedup, mixing, ngram_join, quality, substrings, tokens
 from papyra.scratch import new_path
 
 
@@ -69,8 +69,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by_mask = filter_audit.masks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return filter_audit.audit(filter_audit.joint_failures(by_mask))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_wavelet_tokens, op2_mix_sources, op3_chat_format, op4_ngram_jaccard, op5_license_scan, op6_decontaminate, op7_line_dedup, op8_substring_dedup, op9_language_id, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_wavelet_tokens, op2_mix_sources, op3_chat_format, op4_ngram_jaccard, op5_license_scan, op6_decontaminate, op7_line_dedup, op8_substring_dedup, op9_language_id, op10_quality_rules, op11_filter_audit)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -137,6 +142,29 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(
 FROM d LEFT JOIN words USING (k) LEFT JOIN items USING (k)
 """
 
+OP11 = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY text) AS first FROM d),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, MAP {
+    'A': len(w) < 50, 'B': 100 * len(list_distinct(w)) < 65 * len(w), 'C': 100 * len(regexp_extract_all(text, '[A-Z]')) > 5 * length(text),
+    'D': regexp_matches(text, '[#$%&*|]'), 'E': coalesce(w.doc_id > first, false)} AS fails
+  FROM w LEFT JOIN l ON l.doc_id = w.doc_id),
+g AS (SELECT part, good, toxic, fails, count(*)::BIGINT AS n FROM f GROUP BY ALL),
+z AS (SELECT unnest(string_split('ABCDE', '')) AS z),
+o AS (SELECT a.z || b.z || c.z || d.z || e.z AS filter_order FROM z a, z b, z c, z d, z e
+  WHERE len(list_distinct([a.z, b.z, c.z, d.z, e.z])) = 5),
+s AS (SELECT part, good, toxic, n, fails, filter_order, step, filter_order[step] AS f, len(list_filter(string_split(filter_order[1 : step - 1], ''), lambda x: x <> '' AND fails[x])) > 0 AS gone
+  FROM g, o, unnest(range(1, 6)) AS u(step)),
+r AS (SELECT part, filter_order, step::INT AS step, f,
+    sum(CASE WHEN NOT gone AND NOT fails[f] THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN NOT gone AND fails[f] THEN n ELSE 0 END)::BIGINT AS removed,
+    sum(CASE WHEN gone AND fails[f] THEN n ELSE 0 END)::BIGINT AS redundant,
+    sum(CASE WHEN fails[f] AND len(list_filter(map_values(fails), lambda x: x)) = 1 THEN n ELSE 0 END)::BIGINT AS unique_fails,
+    sum(CASE WHEN NOT gone AND fails[f] AND good THEN n ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN NOT gone AND fails[f] AND toxic THEN n ELSE 0 END)::BIGINT AS toxic_lost
+  FROM s GROUP BY ALL)
+SELECT * EXCLUDE (f), (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM r
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": OP2, "op3_chat_format": OP3, "op4_ngram_jaccard": OP4, "op6_decontaminate": OP6}
+    return {"op2_mix_sources": OP2, "op3_chat_format": OP3, "op4_ngram_jaccard": OP4, "op6_decontaminate": OP6, "op11_filter_audit": OP11}
