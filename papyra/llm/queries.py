@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.llm import chat, decontaminate, filter_audit, language, licenses, line_dedup, mixing, ngram_join, quality, substrings, tokens
+from papyra.llm import chat, decontaminate, divergence, filter_audit, language, licenses, line_dedup, mixing, ngram_join, quality, substrings, tokens
 from papyra.scratch import new_path
 
 
@@ -74,8 +74,12 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(filter_audit.joint_failures(by_mask))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_wavelet_tokens, op2_mix_sources, op3_chat_format, op4_ngram_jaccard, op5_license_scan, op6_decontaminate, op7_line_dedup, op8_substring_dedup, op9_language_id, op10_quality_rules, op11_filter_audit)}
+    return {f.__name__: f for f in (op1_wavelet_tokens, op2_mix_sources, op3_chat_format, op4_ngram_jaccard, op5_license_scan, op6_decontaminate, op7_line_dedup, op8_substring_dedup, op9_language_id, op10_quality_rules, op11_filter_audit, op13_source_divergence)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -165,6 +169,26 @@ r AS (SELECT part, filter_order, step::INT AS step, f,
 SELECT * EXCLUDE (f), (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM r
 """
 
+OP13 = rf"""
+WITH d AS (SELECT row_number() OVER () AS k, {_LOWER} AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+w AS (SELECT k, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM d),
+kept AS (SELECT lang, t FROM w GROUP BY ALL HAVING count(DISTINCT k) >= 30),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY ALL),
+c AS (SELECT lang, source, t, count(*) AS n FROM w JOIN kept USING (lang, t) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+s AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL),
+p AS (SELECT g.lang, g.source, kept.t, coalesce(n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(n, 0) + 5)) // (coalesce(total, 0)::HUGEINT + 5 * v) AS p
+  FROM g JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN s ON s.lang = g.lang AND s.source = g.source LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.t = kept.t),
+q AS (SELECT lang, t, 1 + (1000000000::HUGEINT * (sum(n) + 5)) // ((sum(sum(n)) OVER (PARTITION BY lang))::HUGEINT + 5 * (count(*) OVER (PARTITION BY lang))) AS q FROM c GROUP BY lang, t),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce((
+    SELECT sum(abs(x.p - y.p)) FROM p AS x JOIN p AS y ON y.lang = a.lang AND y.source = b.source AND y.t = x.t WHERE x.lang = a.lang AND x.source = a.source), 0) AS value
+  FROM g AS a JOIN g AS b ON a.lang = b.lang AND a.source <> b.source),
+term AS (SELECT lang, source, 'term' AS part, t AS item, p - q AS value FROM p JOIN q USING (lang, t) WHERE n > 0 AND p > q),
+r AS (SELECT * FROM pair UNION ALL SELECT * FROM term)
+SELECT lang, source, part, item, value::BIGINT AS value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank
+FROM r QUALIFY part = 'pair' OR rank <= 50
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": OP2, "op3_chat_format": OP3, "op4_ngram_jaccard": OP4, "op6_decontaminate": OP6, "op11_filter_audit": OP11}
+    return {"op2_mix_sources": OP2, "op3_chat_format": OP3, "op4_ngram_jaccard": OP4, "op6_decontaminate": OP6, "op11_filter_audit": OP11, "op13_source_divergence": OP13}
