@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.llm import chat, decontaminate, divergence, filter_audit, language, licenses, line_dedup, mixing, ngram_join, quality, substrings, tokens
+from papyra.llm import chat, decontaminate, divergence, filter_audit, language, licenses, line_dedup, mixing, ngram_join, prefix_counts, quality, substrings, tokens
 from papyra.scratch import new_path
 
 
@@ -74,12 +74,19 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(filter_audit.joint_failures(by_mask))
 
 
+def op12_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "prefix-counts")
+    prefix_counts.index(table(spark, sf_dir, "documents"), tokenizer_file()).write.option("compression", "zstd").parquet(path)
+    stored = prefix_counts.truncate(spark.read.schema(prefix_counts.FORMAT).parquet(path), budget=2048)
+    return stored.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"), "fit_chars", "fit_tokens")
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_wavelet_tokens, op2_mix_sources, op3_chat_format, op4_ngram_jaccard, op5_license_scan, op6_decontaminate, op7_line_dedup, op8_substring_dedup, op9_language_id, op10_quality_rules, op11_filter_audit, op13_source_divergence)}
+    return {f.__name__: f for f in (op1_wavelet_tokens, op2_mix_sources, op3_chat_format, op4_ngram_jaccard, op5_license_scan, op6_decontaminate, op7_line_dedup, op8_substring_dedup, op9_language_id, op10_quality_rules, op11_filter_audit, op12_prefix_counts, op13_source_divergence)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
