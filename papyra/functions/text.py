@@ -45,7 +45,7 @@ def is_iso(text: Column) -> Column:
 
 def number(text: Column) -> Column:
     """Thousands separators dropped; "-" and blanks are null."""
-    return F.expr("null") if text is None else F.replace(F.nullif(F.trim(text), F.lit("-")), F.lit(","), F.lit("")).try_cast("double")
+    return F.replace(F.nullif(F.trim(text), F.lit("-")), F.lit(","), F.lit("")).try_cast("double")
 
 
 def money(amount: Column, unit: Column) -> Column:
@@ -67,6 +67,28 @@ def half_steps(x: Column) -> Column:
     return F.floor(x * 2 + 0.5) / 2
 
 
+def to_fixed(x: Column, digits: int = 2) -> Column:
+    """A double with so many decimals (up to 9), rounded by its exact binary value, halves away from zero: 1.005 is under its half and gives 1.00.
+
+    The formatter works on the exact value but takes halves to even. A half is
+    a whole number of 2 ** -(digits + 1), which doubles hold exactly, so halves
+    are told apart without error and rounded in whole numbers. Numbers of 2^62
+    and more, infinities and NaN are written as they are, null stays null.
+    """
+    size, unit = F.abs(x), float(1 << (digits + 1))
+    units = (F.least(size, F.lit(float(1 << 52))) * unit).cast("bigint").cast("decimal(19,0)")
+    # size * 10 ** digits * 2, exact wherever size is a whole number of units; from 2 ** 52 on there are no halves.
+    twice = units * F.lit(5**digits).cast("decimal(10,0)")
+    half = (size * unit == F.floor(size * unit).cast("double")) & (size < float(1 << 52)) & (twice % 2 == 1)
+    whole = F.call_function("div", twice + 1, F.lit(2)).cast("string")
+    padded = F.when(F.length(whole) <= digits, F.lpad(whole, digits + 1, "0")).otherwise(whole)
+    point = F.lit(".") if digits else F.lit("")
+    exact = F.concat(F.when(x < 0, "-").otherwise(""), F.left(padded, F.length(padded) - digits), point, F.right(padded, F.lit(digits)))
+    plain = F.replace(F.format_number(F.when(x == 0, F.lit(0.0)).otherwise(x), digits), F.lit(","), F.lit(""))
+    large = F.isnan(x) | (size >= float(1 << 62))
+    return F.when(x.isNull(), None).when(large, x.cast("string")).when(half, exact).otherwise(plain)
+
+
 def padded_id(prefix: str, n: Column, width: int = 6) -> Column:
     """Prefix and zero-padded number; longer numbers are kept whole."""
     digits = n.cast("string")
@@ -82,24 +104,6 @@ def split_sentences(text: Column) -> Column:
     return F.filter(F.split(text, SENTENCE_END), lambda s: s != "")
 
 
-def chunks(text: Column, limit: int = 2200, overlap: int = 180) -> Column:
-    """Sentences packed to ``limit`` characters; each further chunk starts with the last ``overlap`` of the one before. Long sentences stay whole."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
-
-    def add(acc: Column, s: Column) -> Column:
-        now = acc["now"]
-        full = (now != "") & (F.length(now) + F.length(s) + 1 > limit)
-        return F.struct(
-            F.when(full, F.concat(acc["done"], F.array(F.trim(now)))).otherwise(acc["done"]).alias("done"),
-            F.when(full, F.concat(F.right(now, F.lit(overlap)), F.lit(" "), s)).when(now == "", s).otherwise(F.concat(now, F.lit(" "), s)).alias("now"),
-        )
-
-    def finish(acc: Column) -> Column:
-        return F.when(F.trim(acc["now"]) == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(F.trim(acc["now"]))))
-
-    return F.when(F.length(text) <= limit, F.array(text)).otherwise(F.aggregate(split_sentences(text), start, add, finish))
-
-
 def classify(label: Column, rules: list[tuple[str, str]], default: str | None = None) -> Column:
     """The value of the first rule whose pattern the label matches."""
     out = None

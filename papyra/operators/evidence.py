@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from papyra.functions.text import padded_id
+from papyra.operators.relational import keep_first
 from papyra.scratch import settle
 
 
@@ -19,10 +21,12 @@ def nested_lookup(base: DataFrame, evidence: DataFrame, base_key: str, key: str,
 
 
 def strict(base: DataFrame, evidence: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """``base`` with ``value`` of the evidence; a row without evidence fails the query and names its key."""
-    joined = base.join(evidence.select(*keys, F.col(value).alias("strict_value")), keys, "left")
-    miss = F.raise_error(F.concat(F.lit("no evidence for "), F.concat_ws("|", *[F.col(k).cast("string") for k in keys])))
-    return joined.withColumn(value, F.when(F.col("strict_value").isNotNull(), F.col("strict_value")).otherwise(miss.cast(joined.schema["strict_value"].dataType))).drop("strict_value")
+    """``base`` with ``value`` of the evidence, null values too; a row without evidence fails the query and names its key, whichever columns are read."""
+    joined = base.join(evidence.select(*keys, F.col(value).alias("strict_value"), F.lit(True).alias("strict_hit")), keys, "left")
+    miss = F.raise_error(F.concat(F.lit("no evidence for "), F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys])))
+    # A filter isn't pruned when the value isn't read.
+    found = joined.filter(F.when(F.col("strict_hit").isNull(), miss.cast("boolean")).otherwise(True))
+    return found.withColumn(value, F.col("strict_value")).drop("strict_value", "strict_hit")
 
 
 def two_tier(base: DataFrame, first: DataFrame, first_key: str, second: DataFrame, second_key: str, name: str) -> DataFrame:
@@ -78,13 +82,20 @@ def numbered(rows: DataFrame, order: list[str], name: str = "seq") -> DataFrame:
     return out.withColumn(name, (F.col("before") + F.col("place")).cast("long")).drop("range_no", "place", "before")
 
 
-def chunk_table(kinds: list[DataFrame], prefix: str, parts=lambda body: F.array(body)) -> DataFrame:
+def chunk_table(kinds: list[DataFrame], prefix: str, parts=lambda body: F.array(body), keep_by: list[str] | None = None) -> DataFrame:
     """Chunks of several kinds (kind, doc, page, body) as one table: parts from 1, one sequence over all in order of kind, document, page and part, ids and hashes.
 
-    Columns that a kind lacks are null. ``parts`` cuts a body.
+    Columns that a kind lacks are null, further ones (provenance) stay.
+    ``parts`` cuts a body. With ``keep_by`` only the first of the chunks with
+    equal text and equal ``keep_by`` stays, and the sequence has no gaps. Ids
+    have six digits, or more where the sequence is longer.
     """
     given = [k.withColumn("ordinal", F.lit(i)) for i, k in enumerate(kinds)]
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), given)
     cut = rows.select("*", F.posexplode(parts(F.col("body"))).alias("pos", "piece")).withColumn("part", F.col("pos") + 1).withColumn("body", F.col("piece")).drop("pos", "piece")
-    out = numbered(cut, ["ordinal", "doc", "page", "part"])
-    return out.select("seq", F.concat(F.lit(prefix), F.lpad(F.col("seq").cast("string"), 6, "0")).alias("chunk_id"), *[c for c in cut.columns if c != "ordinal"], F.sha2("body", 256).alias("chunk_hash"))
+    order, columns = ["ordinal", "doc", "page", "part"], [c for c in cut.columns if c != "ordinal"]
+    cut = cut.withColumn("chunk_hash", F.sha2("body", 256))
+    if keep_by is not None:
+        cut = keep_first(cut, [*keep_by, "chunk_hash"], order)
+    out = numbered(cut, order)
+    return out.select("seq", padded_id(prefix, F.col("seq")).alias("chunk_id"), *columns, "chunk_hash")

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from papyra.scratch import settle
+
 
 def keep_first(df: DataFrame, keys: list[str], order: list, last: bool = False) -> DataFrame:
     """One row per key: the first (or last) in a total order."""
@@ -60,23 +62,37 @@ def carry_forward(df: DataFrame, group: str, order: str, event: Column, value: C
     return out.withColumn("state", F.when(alive, F.col("__m.v"))).drop("__m")
 
 
-def asof(points: DataFrame, events: DataFrame, left_on: str, right_on: str, value: str) -> DataFrame:
-    """Each point with the value of the latest event at or before it, by one sorted union instead of a range join.
+def asof(points: DataFrame, events: DataFrame, left_on: str, right_on: str, value: str, by: list[str] | None = None) -> DataFrame:
+    """Each point with the value of the latest event at or before it (of equal keys ``by``), by one sorted union instead of a range join.
 
-    Events are cut into days, within which the window runs; a day without an
-    earlier event takes the last value of the days before it, from a window
-    over one row per day.
+    Points and events are dealt to ranges of their whole order, so neither a
+    crowded day nor a crowded key stays in one task, and written. A window runs
+    within each range; what the ranges before it end with, one row each, goes
+    on into a range's first key. Of events at one time the largest value
+    counts; null times and null keys have none, and a null value hides earlier
+    ones no more than a missing event.
     """
-    day = lambda c: F.to_date(c)
-    e = events.select(F.col(right_on).alias("__t"), F.col(value).alias("__v"), F.lit(0).alias("__k"))
-    p = points.withColumns({"__t": F.col(left_on), "__v": F.lit(None).cast(events.schema[value].dataType), "__k": F.lit(1)})
-    both = p.unionByName(e, allowMissingColumns=True).withColumn("__d", day("__t"))
-    within = Window.partitionBy("__d").orderBy("__t", "__k", "__v").rowsBetween(Window.unboundedPreceding, 0)
-    days = both.groupBy("__d").agg(F.max(F.when(F.col("__k") == 0, F.struct("__t", "__v"))).alias("__last"))
-    before = Window.orderBy("__d").rowsBetween(Window.unboundedPreceding, -1)
-    days = days.select("__d", F.last("__last.__v", ignorenulls=True).over(before).alias("__before"))
-    out = both.withColumn("__now", F.last("__v", ignorenulls=True).over(within)).filter("__k = 1").join(days, "__d")
-    return out.withColumn(value, F.coalesce("__now", "__before")).drop("__t", "__v", "__k", "__d", "__now", "__before")
+    by = by or []
+    keys = [f"__by{k}" for k in range(len(by))]
+    e = events.select(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], F.col(right_on).alias("__t"), F.col(value).alias("__v"), F.lit(0).alias("__k"), F.lit(0).cast("long").alias("__h"))
+    e = e.filter(" and ".join(f"{c} is not null" for c in (*keys, "__t", "__v")))
+    own = points.columns
+    p = points.withColumns({k: F.col(c) for c, k in zip(by, keys, strict=True)} | {"__t": F.col(left_on), "__v": F.lit(None).cast(events.schema[value].dataType), "__k": F.lit(1), "__h": F.xxhash64(*own)})
+    order = [*keys, "__t", "__k", "__v", "__h"]
+    ranged = settle(p.unionByName(e, allowMissingColumns=True).repartitionByRange(*order).withColumn("__r", F.spark_partition_id()), "asof")
+    key = F.struct(*keys) if keys else F.lit(0)
+    within = Window.partitionBy("__r", *keys).orderBy("__t", "__k", "__v", "__h").rowsBetween(Window.unboundedPreceding, 0)
+    # Each range's first and last key, and the last value of the last key.
+    last = F.max(F.when(F.col("__k") == 0, F.struct(*keys, "__t", "__v")))
+    ends = ranged.groupBy("__r").agg(F.min(key).alias("first"), F.max(key).alias("end"), last.alias("l"))
+    mine = F.when(F.struct(*[F.col("l")[k] for k in keys]) == F.col("end"), F.col("l.__v")) if keys else F.col("l.__v")
+    ends = ends.select("__r", "first", "end", mine.alias("v"))
+    before = Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    carried = F.last(F.when(F.col("v").isNotNull(), F.struct(F.col("end").alias("k"), F.col("v").alias("v"))), ignorenulls=True).over(before)
+    ends = ends.select("__r", "first", carried.alias("c")).filter("c.k = first").select("__r", "first", F.col("c.v").alias("__before"))
+    now = ranged.withColumn("__now", F.last("__v", ignorenulls=True).over(within)).filter("__k = 1")
+    out = now.join(F.broadcast(ends), (now["__r"] == ends["__r"]) & (key == F.col("first")), "left")  # one row a range
+    return out.withColumn("__got", F.coalesce("__now", "__before")).select(*own, F.col("__got").alias(value))
 
 
 def violations(*rules: tuple[str, str, DataFrame, Column]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from papyra.functions import chunking as C
 from papyra.functions import text as T
 from papyra.operators import pages as P
 from papyra.operators import parsers as X
@@ -45,7 +46,7 @@ def compact_text(spark, sf):
 def chunk_documents(spark, sf):
     """Cleaned texts in overlapping chunks, hashed; the first of equal chunks of a document stays."""
     docs = t(spark, sf, "documents").select("doc_id", T.clean(F.col("text")).alias("body"))
-    parts = docs.select("doc_id", F.posexplode(T.chunks(F.col("body"))).alias("part", "chunk")).withColumn("chunk_hash", F.sha2("chunk", 256))
+    parts = docs.select("doc_id", F.posexplode(C.chunks(F.col("body"))).alias("part", "chunk")).withColumn("chunk_hash", F.sha2("chunk", 256))
     return R.keep_first(parts, ["doc_id", "chunk_hash"], ["part"])
 
 

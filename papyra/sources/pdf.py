@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyra.functions.text import WS
+from papyra.shipping import ship
 
 ITEMS = "path string, page int, n_pages int, items array<struct<x: double, y: double, text: string>>, error string"
 _BLANK = rb"\x00\t\n\x0c\r "
@@ -405,6 +406,7 @@ def files(spark: SparkSession, root: str) -> DataFrame:
 
 def page_counts(pdfs: DataFrame) -> DataFrame:
     """(path, n_pages, error) of each file; nothing of a page is decoded."""
+    ship(pdfs.sparkSession)
 
     def run(batches):
         for b in batches:
@@ -426,6 +428,7 @@ def items(pdfs: DataFrame, wanted: DataFrame | None = None, pages_each: int = 64
     that can't be read gives one row without a page, a broken page one row
     with its error; wanted pages that a file hasn't got give no row.
     """
+    ship(pdfs.sparkSession)
     pdfs = pdfs.select("path", "content")
     if wanted is None:
         counted = page_counts(pdfs).select("path", F.explode(F.sequence(F.lit(0), F.floor((F.greatest(F.coalesce("n_pages", F.lit(1)), F.lit(1)) - 1) / pages_each))).alias("k"))

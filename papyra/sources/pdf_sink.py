@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from papyra.shipping import ship
+
 
 def build(pages: list[list[tuple[float, float, str]]], packed: bool = True) -> bytes:
     """A file with the given pieces of text (x, y, text) on its pages; ``packed`` compresses streams and keeps objects in an object stream."""
@@ -54,6 +56,7 @@ def build(pages: list[list[tuple[float, float, str]]], packed: bool = True) -> b
 
 def render(placed: DataFrame, packed: bool = True) -> DataFrame:
     """(path, content): a file per path from rows (path, page, x, y, str), pages from 1; pages without rows are empty. One file is built in one task, from its own rows only."""
+    ship(placed.sparkSession)
     pages = placed.groupBy("path", "page").agg(F.array_sort(F.collect_list(F.struct(F.negate("y").alias("down"), "x", "str"))).alias("rows"))
     whole = pages.groupBy("path").agg(F.collect_list(F.struct("page", "rows")).alias("pages"))
 
