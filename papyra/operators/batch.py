@@ -63,8 +63,8 @@ def _fields(**columns) -> Column:
     return F.create_map(*pairs)
 
 
-def _row(table: str, fields: Column, pos=F.lit(0)) -> Column:
-    return F.struct(F.lit(table).alias("table"), pos.cast("int").alias("pos"), fields.alias("fields"))
+def _row(table: str, fields: Column, pos: Column | int = 0) -> Column:
+    return F.struct(F.lit(table).alias("table"), (F.lit(pos) if isinstance(pos, int) else pos).cast("int").alias("pos"), fields.alias("fields"))
 
 
 def tagged(files: DataFrame, rules: DataFrame, issuer: str) -> DataFrame:

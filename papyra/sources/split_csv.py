@@ -22,18 +22,18 @@ _RANGE = ["file", "begin"]
 
 
 def _lines(spark: SparkSession, path: str, range_bytes: int | None) -> DataFrame:
-    """(value, file, begin): the physical lines, each range's in order, ``begin`` being the range's first byte in the file."""
-    key = "spark.sql.files.maxPartitionBytes"
-    before = spark.conf.get(key)
+    """(value, file, begin): the physical lines, each range's in order, ``begin`` being the range's first byte in the file.
+
+    Read in a session of its own, whose settings make every scan cut the files
+    alike, however many executors there are at the time.
+    """
+    own = spark.newSession()
+    own.conf.set("spark.sql.files.maxPartitionBytes", str(range_bytes) if range_bytes else spark.conf.get("spark.sql.files.maxPartitionBytes"))
     if range_bytes:
-        spark.conf.set(key, str(range_bytes))
-    try:
-        read = spark.read.option("lineSep", "\n").text(path)
-        out = read.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("begin"))
-        out._jdf.queryExecution().executedPlan()  # the ranges are fixed here, while the setting holds
-    finally:
-        spark.conf.set(key, before)
-    return out
+        own.conf.set("spark.sql.files.openCostInBytes", str(min(range_bytes, 4 << 20)))
+    own.conf.set("spark.sql.files.minPartitionNum", "1")
+    read = own.read.option("lineSep", "\n").text(path)
+    return read.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("begin"))
 
 
 def _runs(batch: pa.RecordBatch):
@@ -122,7 +122,7 @@ def records(spark: SparkSession, path: str, range_bytes: int | None = None) -> D
             yield flush()
 
     pieces = joined.mapInArrow(cut, "file string, owner long, nth long, begin long, whole boolean, text string")
-    pieces = settle(pieces, "csv-pieces")
+    pieces = spark.read.schema(pieces.schema).parquet(settle(pieces, "csv-pieces")._settled_at)
     # The last record of a range that is still open goes on as the first of the next ones.
     broken = pieces.filter("not whole").groupBy("file", "owner").agg(F.array_sort(F.collect_list(F.struct("begin", "nth", "text"))).alias("p"))
     joined_up = broken.select("file", F.col("owner").alias("begin"), F.col("p")[0]["nth"].alias("nth"), F.array_join("p.text", "\n").alias("record"))
