@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rule: the metric it reads and what it must equal, a total or nothing.
@@ -92,3 +92,48 @@ def issue_reasons(issues: DataFrame) -> DataFrame:
     """The short form of the issue registry: its keys and ``reason [status; confirmation]``; a missing part is empty."""
     part = lambda c: F.coalesce(F.col(c), F.lit(""))
     return issues.select("issue_id", "source_doc_id", "affected_field", F.concat(part("reason"), F.lit(" ["), part("status"), F.lit("; "), part("official_confirmation"), F.lit("]")).alias("reason"))
+
+
+def listed(df: DataFrame, key: str, lists: dict[str, Column]) -> DataFrame:
+    """(list, key): each row under every list whose condition holds for it; null conditions don't."""
+    hits = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in lists.items()]))
+    return df.select(F.explode(hits).alias("list"), F.col(key).alias("key"))
+
+
+def examples(lists: DataFrame, most: int = 20) -> DataFrame:
+    """(list, n, first): how long each list is, and its first ``most`` keys in order.
+
+    Each task keeps its own first keys only, so a list of any length reaches no
+    task whole.
+    """
+    order = Window.partitionBy("list").orderBy("key")
+    top = lists.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
+    first = top.groupBy("list").agg(F.array_sort(F.collect_list("key")).alias("first"))
+    return lists.groupBy("list").agg(F.count("*").alias("n")).join(first, "list")
+
+
+# The policies that a summary states.
+POLICIES = {
+    "null_policy": {"dash_as_null": True, "unknown_as_null": True, "zero_preserved_only_when_explicit": True},
+    "source_quality_policy": {"source_values_never_overwritten": True, "official_confirmation_required_for_confirmed_error": True, "unconfirmed_issues_labeled_as_candidates": True},
+}
+
+
+def summary(counts: DataFrame, distributions: dict[str, DataFrame], rates: DataFrame, broken: DataFrame, at: Column | None = None, most: int = 1000) -> dict:
+    """A report of counts (metric, value), distributions (value, n), null rates (metric, rate) and broken rules, with the policies and the time.
+
+    Status is failed if any rule is broken. Distributions are of coded fields:
+    one with over ``most`` values is an error.
+    """
+    spark, out = counts.sparkSession, {}
+    stamp = spark.range(1).select(F.date_format(F.current_timestamp() if at is None else at, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("t")).first()["t"]
+    errors = broken.groupBy("rule_id").agg(F.count("*").alias("n")).orderBy("rule_id").collect()
+    for name, df in distributions.items():
+        rows = df.orderBy(F.desc("n"), "value").limit(most + 1).collect()
+        if len(rows) > most:
+            raise ValueError(f"{name} has over {most} values")
+        out[name] = {r["value"]: r["n"] for r in rows}
+    return {
+        "generated_at": stamp, "status": "failed" if errors else "passed", "counts": {r["metric"]: r["value"] for r in counts.orderBy("metric").collect()}, "distributions": out,
+        "null_rates": {r["metric"]: r["rate"] for r in rates.orderBy("metric").collect()}, **POLICIES, "errors": {r["rule_id"]: r["n"] for r in errors},
+    }

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from papyra.functions.text import padded_id
+from papyra.functions.text import padded_id, union_pages
 from papyra.operators.relational import keep_first
 from papyra.scratch import settle
 
@@ -49,6 +49,24 @@ def override(base: DataFrame, fixes: DataFrame, keys: list[str], replace=(), uni
     return joined.withColumns(new).select(*base.columns)
 
 
+def status_with_overrides(funds: DataFrame, fixes: DataFrame, key: str) -> DataFrame:
+    """``funds`` (key, inception_date, source_page, source_text) with status and scheduled date.
+
+    A fund with a date is ESTABLISHED, one without NOT_DISCLOSED. A fix, one a
+    key, replaces date, status and schedule, nulls too; its pages are united
+    with the fund's and its text is joined on behind them.
+    """
+    named = {c: f"fix_{c}" for c in ("inception_date", "inception_status", "inception_scheduled_date", "source_page", "source_text")}
+    joined = funds.join(fixes.select(key, *[F.col(c).alias(n) for c, n in named.items()], F.lit(True).alias("fixed")), key, "left")
+    fixed = F.col("fixed").isNotNull()
+    note = F.concat(F.coalesce("source_text", F.lit("")), F.lit(" | [p."), F.col("fix_source_page"), F.lit("] "), F.col("fix_source_text"))
+    return joined.select(
+        key, F.when(fixed, F.col("fix_inception_date")).otherwise(F.col("inception_date")).alias("inception_date"),
+        F.when(fixed, F.col("fix_inception_status")).when(F.coalesce("inception_date", F.lit("")) == "", "NOT_DISCLOSED").otherwise("ESTABLISHED").alias("inception_status"),
+        F.col("fix_inception_scheduled_date").alias("inception_scheduled_date"), union_pages("source_page", "fix_source_page").alias("source_page"), F.when(fixed, note).otherwise(F.col("source_text")).alias("source_text"),
+    )
+
+
 def names_in(texts: DataFrame, text: str, pattern: str) -> DataFrame:
     """The distinct ``name``s that group 1 of the pattern finds in the texts: the build side of a join by contained name."""
     return texts.select(F.explode(F.regexp_extract_all(text, F.lit(pattern), F.lit(1))).alias("name")).distinct()

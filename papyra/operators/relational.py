@@ -50,6 +50,17 @@ def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
 
 
+def repeated_rows(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The rows that repeat an earlier one's key, in a total order: all but the first of each key. Null keys are equal to each other.
+
+    Only rows of keys that stand several times are sorted.
+    """
+    twice = duplicates(df, keys).select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keys)])
+    same = reduce(lambda a, b: a & b, [df[c].eqNullSafe(twice[f"__k{i}"]) for i, c in enumerate(keys)])
+    of = df.join(twice, same, "left_semi").withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return of.filter("__rn > 1").drop("__rn")
+
+
 def carry_forward(df: DataFrame, group: str, order: str, event: Column, value: Column, spans: dict[str, int], reset: Column | None = None) -> DataFrame:
     """Column ``state``: the last event's value, cleared by a reset, and ended once the order has moved on by the value's span. An event wins over a reset on its own row."""
     w = Window.partitionBy(group).orderBy(order)

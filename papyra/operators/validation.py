@@ -34,7 +34,7 @@ class Row:
 
 @dataclass(frozen=True)
 class Unique:
-    """Violated once by each value of ``columns`` that several rows have, of rows for which ``where`` holds."""
+    """Violated once by each value of ``columns`` (SQL expressions) that several rows have, of rows for which ``where`` holds."""
 
     rule: str
     table: str
@@ -45,7 +45,7 @@ class Unique:
 
 @dataclass(frozen=True)
 class Exists:
-    """Violated by each row whose ``column`` (if not null or not ``needed``) no row of ``other`` has."""
+    """Violated by each row, of those for which ``where`` holds, whose ``column`` no row of ``other`` for which ``other_where`` holds has."""
 
     rule: str
     table: str
@@ -55,6 +55,7 @@ class Exists:
     other_column: str
     message: str
     where: str = "true"
+    other_where: str = "true"
 
 
 def not_iso(c: str) -> str:
@@ -66,9 +67,17 @@ def blank(*columns: str) -> str:
     return " or ".join(f"coalesce(cast({c} as string), '') = ''" for c in columns)
 
 
-_PROVENANCE = blank("source_doc_id", "source_page", "source_text")
-_PARTS = "management_fee + sales_fee + trust_fee + admin_fee"
-_FIXED = "sales_fee + trust_fee + admin_fee"
+def total(*columns: str) -> str:
+    """A sum in which what is missing counts as 0."""
+    return " + ".join(f"coalesce({c}, 0)" for c in columns)
+
+
+#: Page 0 is no page.
+_PROVENANCE = blank("source_doc_id", "source_page", "source_text") + " or cast(source_page as string) = '0'"
+_PARTS = total("management_fee", "sales_fee", "trust_fee", "admin_fee")
+_FIXED = total("sales_fee", "trust_fee", "admin_fee")
+#: A return of no class is the fund's own.
+_OF_CLASS_OR_FUND = "coalesce(cast(class_id as string), concat(coalesce(cast(fund_id as string), ''), '|FUND'))"
 _FORMULA = "rate_type = 'FORMULA'"
 
 RULES = [
@@ -80,7 +89,7 @@ RULES = [
     Row("V6", "documents", "doc_id", "total_pages is null or total_pages <> floor(total_pages) or total_pages < 1", "invalid total_pages"),
     Exists("V7", "funds", "fund_id", "fund_id", "documents", "fund_id", "no linked document"),
     Exists("V8", "funds", "fund_id", "source_doc_id", "documents", "doc_id", "invalid source_doc_id"),
-    Row("V9", "funds", "fund_id", "risk_grade < 1 or risk_grade > 6", "invalid risk_grade"),
+    Row("V9", "funds", "fund_id", "coalesce(risk_grade, 0) < 1 or risk_grade > 6", "invalid risk_grade"),
     Row("V10", "funds", "fund_id", _PROVENANCE, "missing provenance"),
     Unique("V11", "classes", ("fund_id", "class_name_normalized"), "duplicate class"),
     Row("V12", "classes", "class_id", "least(management_fee, sales_fee, trust_fee, admin_fee) < 0 or total_fee < 0 or total_expense_ratio < 0", "negative fee"),
@@ -90,7 +99,7 @@ RULES = [
     Row("V16", "classes", "class_id", f"class_inception_status = 'ESTABLISHED' and {not_iso('class_inception_date')}", "established class missing valid inception date"),
     Row("V17", "classes", "class_id", "class_inception_status <> '' and class_inception_status <> 'ESTABLISHED' and class_inception_date <> ''", "non-established class has inception date"),
     Row("V18", "classes", "class_id", _PROVENANCE, "missing provenance"),
-    Unique("V19", "performance", ("class_or_fund", "period", "as_of_date"), "duplicate performance"),
+    Unique("V19", "performance", (_OF_CLASS_OR_FUND, "period", "as_of_date"), "duplicate performance"),
     Row("V20", "performance", "performance_id", f"coalesce(period, '') not in {PERIODS}", "invalid period"),
     Row("V21", "performance", "performance_id", "return_pct is null or not (return_pct >= -100 and return_pct <= 1000)", "unreasonable return"),
     Row("V22", "performance", "performance_id", "benchmark_return_pct is not null and not (benchmark_return_pct >= -100 and benchmark_return_pct <= 1000)", "unreasonable benchmark"),
@@ -112,11 +121,11 @@ RULES = [
     Exists("V37", "schedules", "fee_schedule_id", "class_id", "classes", "class_id", "orphan class_id"),
     Exists("V38", "schedules", "fee_schedule_id", "source_doc_id", "documents", "doc_id", "orphan source_doc_id"),
     Unique("V39", "schedules", ("class_id", "period_type"), "duplicate class/period"),
-    Row("V40", "schedules", "fee_schedule_id", f"{_FORMULA} and abs({_FIXED} + min_management_fee - min_total_fee) > 0.000001", "minimum fee components do not sum to minimum total"),
-    Row("V41", "schedules", "fee_schedule_id", f"{_FORMULA} and abs({_FIXED} + max_management_fee - max_total_fee) > 0.000001", "maximum fee components do not sum to maximum total"),
+    Row("V40", "schedules", "fee_schedule_id", f"{_FORMULA} and abs({_FIXED} + coalesce(min_management_fee, 0) - coalesce(min_total_fee, 0)) > 0.000001", "minimum fee components do not sum to minimum total"),
+    Row("V41", "schedules", "fee_schedule_id", f"{_FORMULA} and abs({_FIXED} + coalesce(max_management_fee, 0) - coalesce(max_total_fee, 0)) > 0.000001", "maximum fee components do not sum to maximum total"),
     Row("V42", "schedules", "fee_schedule_id", f"{_FORMULA} and ({blank('formula')})", "formula rate missing formula"),
-    Row("V43", "schedules", "fee_schedule_id", f"not coalesce({_FORMULA}, false) and abs({_PARTS} - total_fee) > 0.000001", "fee components do not sum to total"),
-    Row("V44", "schedules", "fee_schedule_id", f"not coalesce({_FORMULA}, false) and total_expense_ratio < total_fee", "total_expense_ratio below total_fee"),
+    Row("V43", "schedules", "fee_schedule_id", f"not coalesce({_FORMULA}, false) and abs({_PARTS} - coalesce(total_fee, 0)) > 0.000001", "fee components do not sum to total"),
+    Row("V44", "schedules", "fee_schedule_id", f"not coalesce({_FORMULA}, false) and coalesce(total_expense_ratio, 0) < coalesce(total_fee, 0)", "total_expense_ratio below total_fee"),
     Exists("V45", "performance", "performance_id", "fund_id", "funds", "fund_id", "orphan fund"),
     Exists("V46", "performance", "performance_id", "class_id", "classes", "class_id", "orphan class", "class_id is not null"),
     Unique("V47", "performance", ("class_id", "period", "as_of_date"), "duplicate class, period and date", "class_id is not null"),
@@ -132,15 +141,27 @@ RULES = [
     Row("V57", "links", "issue_id", blank("table_name", "record_key", "field_name", "relation_type"), "incomplete link"),
     Unique("V58", "links", ("issue_id", "table_name", "record_key", "field_name"), "duplicate link"),
     *[Exists("V59", "links", "issue_id", "record_key", t, k, f"missing record of {t}", f"relation_type = 'LOADED_RECORD' and table_name = '{t}'") for t, k in (("classes", "class_id"), ("documents", "doc_id"), ("funds", "fund_id"))],
-    Exists("V60", "issues", "issue_id", "issue_id", "chunks", "issue_id", "issue without a chunk"),
+    Exists("V60", "issues", "issue_id", "issue_id", "chunks", "issue_id", "issue without a chunk", other_where="section = 'source_quality_issue'"),
     Row("V72", "chunks", "chunk_id", blank("source_doc_id", "source_page", "source_text"), "missing provenance"),
     Exists("V73", "documents", "doc_id", "doc_id", "chunks", "source_doc_id", "document without chunks"),
 ]
 COLUMNS = ["rule_id", "table_name", "key", "message"]
 
 
-def _named(df: DataFrame, rule, key) -> DataFrame:
-    return df.select(F.lit(rule.rule).alias("rule_id"), F.lit(rule.table).alias("table_name"), key.cast("string").alias("key"), F.lit(rule.message).alias("message"))
+def _repeated(df: DataFrame, rules: list[Unique]) -> DataFrame:
+    """All uniqueness rules of a table in one scan and one count by (rule, key)."""
+    keys = lambda r: F.array(*[F.expr(c).cast("string") for c in r.columns])
+    asked = F.array_compact(F.array(*[F.when(F.expr(r.where), F.struct(F.lit(r.rule).alias("rule_id"), F.lit(r.message).alias("message"), keys(r).alias("k"))) for r in rules]))
+    twice = df.select(F.explode(asked).alias("a")).groupBy("a").agg(F.count("*").alias("n")).filter("n > 1")
+    key = F.array_join(F.transform("a.k", lambda c: F.coalesce(c, F.lit(""))), "|")
+    return twice.select("a.rule_id", F.lit(rules[0].table).alias("table_name"), key.alias("key"), "a.message")
+
+
+def _orphans(child: DataFrame, parent: DataFrame, rules: list[Exists]) -> DataFrame:
+    """All references of a table to one column of another in one scan and one join."""
+    asked = F.array_compact(F.array(*[F.when(F.expr(r.where), F.struct(F.lit(r.rule).alias("rule_id"), F.lit(r.message).alias("message"), F.col(r.key).cast("string").alias("key"), F.col(r.column).cast("string").alias("ref"))) for r in rules]))
+    refs = child.select(F.explode(asked).alias("a")).select("a.*")
+    return refs.join(parent, F.col("ref") == F.col("parent_key"), "left_anti").select("rule_id", F.lit(rules[0].table).alias("table_name"), "key", "message")
 
 
 def violations(tables: dict[str, DataFrame], rules: list = RULES) -> DataFrame:
@@ -157,13 +178,12 @@ def violations(tables: dict[str, DataFrame], rules: list = RULES) -> DataFrame:
             hits = F.array_compact(F.array(*[F.when(F.expr(r.condition), F.struct(F.lit(r.rule).alias("rule_id"), F.lit(r.message).alias("message"))) for r in rows]))
             found = tables[name].select(F.col(rows[0].key).cast("string").alias("key"), F.explode(hits).alias("v"))
             out.append(found.select("v.rule_id", F.lit(name).alias("table_name"), "key", "v.message"))
-    for r in (r for r in known if isinstance(r, Unique)):
-        twice = tables[r.table].filter(r.where).groupBy(*r.columns).agg(F.count("*").alias("rows_of_key")).filter("rows_of_key > 1")
-        out.append(_named(twice, r, F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in r.columns])))
-    for r in (r for r in known if isinstance(r, Exists)):
-        child = tables[r.table].filter(r.where)
-        parent = tables[r.other].select(F.col(r.other_column).cast("string").alias("parent_key"))
-        out.append(_named(child.join(parent, child[r.column].cast("string") == F.col("parent_key"), "left_anti"), r, F.col(r.key)))
+    for name in dict.fromkeys(r.table for r in known if isinstance(r, Unique)):
+        out.append(_repeated(tables[name], [r for r in known if r.table == name and isinstance(r, Unique)]))
+    parents = dict.fromkeys((r.table, r.other, r.other_column, r.other_where) for r in known if isinstance(r, Exists))
+    for place in parents:
+        own = [r for r in known if isinstance(r, Exists) and (r.table, r.other, r.other_column, r.other_where) == place]
+        out.append(_orphans(tables[place[0]], tables[place[1]].filter(place[3]).select(F.col(place[2]).cast("string").alias("parent_key")), own))
     return reduce(DataFrame.unionByName, out)
 
 
@@ -175,7 +195,7 @@ def as_sql(prefix: str, tables: list[str], rules: list = RULES) -> str:
         rest = {
             Row: lambda r: f"where {r.condition}",
             Unique: lambda r: f"where {r.where} group by {', '.join(r.columns)} having count(*) > 1",
-            Exists: lambda r: f"where ({r.where}) and not exists (select 1 from {prefix}{r.other} p where cast(p.{r.other_column} as string) = cast(c.{r.column} as string))",
+            Exists: lambda r: f"where ({r.where}) and not exists (select 1 from {prefix}{r.other} p where {r.other_where} and cast(p.{r.other_column} as string) = cast(c.{r.column} as string))",
         }[type(r)](r)
         out.append(f"select '{r.rule}' as rule_id, '{r.table}' as table_name, {key} as key, '{r.message}' as message from {prefix}{r.table} c {rest}")
     return "\nunion all ".join(out)

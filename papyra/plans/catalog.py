@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 from papyra.functions import text as T
 from papyra.operators import audit as A
 from papyra.operators import evidence as E
+from papyra.operators import relational as R
 from papyra.operators import validation as V
 
 _DAY = "cast(cast(o_orderdate as date) as string)"
 MODEL = {
-    "documents": f"""select case when o_orderkey % 5000 = 0 then 1 else o_orderkey end as doc_id, o_custkey as fund_id, case when o_orderkey % 311 = 0 then substr({_DAY}, 1, 7) else {_DAY} end as document_date,
+    "documents": f"""select case when o_orderkey % 5000 = 0 then 1 else o_orderkey end as doc_id, case when o_custkey % 10 = 0 then o_custkey + 1 else o_custkey end as fund_id, case when o_orderkey % 311 = 0 then substr({_DAY}, 1, 7) else {_DAY} end as document_date,
         case when o_orderkey % 401 = 0 then null else {_DAY} end as effective_date, o_orderkey % 60 as total_pages, o_orderpriority as source_file from orders""",
-    "funds": """select c_custkey as fund_id, c_custkey * 9 as source_doc_id, c_custkey % 8 as risk_grade, 1 as source_page, case when c_custkey % 77 = 0 then '' else c_name end as source_text,
+    "funds": """select case when c_custkey % 70 = 1 then 2 else c_custkey end as fund_id, c_custkey * 9 as source_doc_id, c_custkey % 8 as risk_grade, 1 as source_page, case when c_custkey % 77 = 0 then '' else c_name end as source_text,
         case c_custkey % 5 when 0 then 'NOT_ESTABLISHED' when 1 then 'NOT_DISCLOSED' when 2 then 'REVIEWED' else 'ESTABLISHED' end as inception_status,
         case when c_custkey % 5 >= 3 and c_custkey % 7 > 0 then '1995-06-17' when c_custkey % 45 = 0 then '1996-01-01' end as inception_date,
         case when c_custkey % 50 = 0 then '1996-13' end as inception_scheduled_date from customer where c_custkey % 40 <> 3""",
@@ -31,12 +32,12 @@ MODEL = {
     "schedules": """select l_orderkey * 8 + l_linenumber as fee_schedule_id, l_orderkey % 1700 as fund_id, l_orderkey * 8 + l_linenumber + case when l_orderkey % 71 = 0 then 1 else 0 end as class_id, l_orderkey as source_doc_id,
         case when l_linenumber % 2 = 0 then 'INITIAL_FIXED_RATE' else 'PERFORMANCE_LINKED_RATE' end as period_type, case when l_linenumber % 2 = 0 then 'FIXED' else 'FORMULA' end as rate_type,
         case when l_orderkey % 19 = 0 then '' else 'base plus excess' end as formula, cast(l_discount as double) as management_fee, cast(l_tax as double) as sales_fee, 0.01e0 as trust_fee, 0.02e0 as admin_fee,
-        0e0 as min_management_fee, 1.6e0 as max_management_fee, round(l_tax + 0.03e0, 4) as min_total_fee, round(l_tax + 1.63e0 + case when l_orderkey % 23 = 0 then 0.1e0 else 0e0 end, 4) as max_total_fee,
+        0e0 as min_management_fee, 1.6e0 as max_management_fee, round(l_tax + 0.03e0 + case when l_orderkey % 37 = 0 then 0.2e0 else 0e0 end, 4) as min_total_fee, round(l_tax + 1.63e0 + case when l_orderkey % 23 = 0 then 0.1e0 else 0e0 end, 4) as max_total_fee,
         round(cast(l_discount as double) + l_tax + case when l_orderkey % 29 = 0 then 0.1e0 else 0.03e0 end, 4) as total_fee, case when l_orderkey % 31 = 0 then 0e0 else 2e0 end as total_expense_ratio from lineitem where l_linenumber <= 2""",
     "performance": """select l_orderkey * 8 + l_linenumber as performance_id, l_orderkey % 1700 as fund_id, case when l_linenumber = 7 then null else l_orderkey * 8 + case when l_linenumber = 6 then 5 else l_linenumber end end as class_id,
         concat(cast(l_orderkey as string), '|', cast(l_linenumber % 6 as string)) as class_or_fund, case l_linenumber when 1 then '1Y' when 2 then '2Y' when 3 then '10Y' else '5Y' end as period,
         cast(l_quantity as double) * 21 as return_pct, case when l_orderkey % 3 = 0 then null else 50e0 - l_quantity * 4 end as benchmark_return_pct,
-        case when l_orderkey % 203 = 0 then '96.1.1' else '1996-01-01' end as as_of_date, l_orderkey as source_doc_id, l_linenumber as source_page, l_returnflag as source_text from lineitem""",
+        case when l_orderkey % 203 = 0 then '96.1.1' else '1996-01-01' end as as_of_date, l_orderkey as source_doc_id, case when l_orderkey % 41 = 0 then 0 else l_linenumber end as source_page, l_returnflag as source_text from lineitem""",
     "aum": "select s_suppkey * 16 as fund_id, cast(s_acctbal as double) as amount from supplier",
     "issues": """select case when p_partkey % 700 = 0 then 7 else p_partkey end as issue_id, p_partkey as fund_id, p_partkey as source_doc_id,
         case p_partkey % 6 when 0 then 'SUSPECTED_SOURCE_ERROR' when 1 then 'INTERNAL_CONFLICT' when 2 then 'RESOLVED_WITH_EVIDENCE' when 3 then 'REQUIRES_REVIEW' when 4 then 'CONFIRMED_SOURCE_ERROR' else 'OPEN' end as status,
@@ -45,7 +46,7 @@ MODEL = {
     "links": """select p_partkey + case when p_partkey % 150 = 0 then 100000 else 0 end as issue_id, case p_partkey % 3 when 0 then 'classes' when 1 then 'documents' else 'funds' end as table_name,
         cast(p_partkey * 5 as string) as record_key, case when p_partkey % 80 = 0 then '' else 'total_fee' end as field_name, case when p_partkey % 4 = 0 then 'SOURCE_ONLY' else 'LOADED_RECORD' end as relation_type from part
         union all select p_partkey, 'funds', '1', 'name', 'LOADED_RECORD' from part where p_size = 3 union all select p_partkey, 'funds', '1', 'name', 'LOADED_RECORD' from part where p_size = 3 and p_partkey % 2 = 0""",
-    "chunks": """select conv_id * 100 + turn as chunk_id, case when turn % 3 = 0 then conv_id end as issue_id, conv_id as source_doc_id, turn + 1 as source_page, role as section, case when turn = 4 then '' else text end as source_text from conversations""",
+    "chunks": """select conv_id * 100 + turn as chunk_id, case when turn % 3 = 0 then conv_id end as issue_id, conv_id as source_doc_id, turn + 1 as source_page, case when turn % 6 = 3 then 'source_quality_issue' else role end as section, case when turn = 4 then '' else text end as source_text from conversations""",
 }
 _FROM = {"documents": ["orders"], "funds": ["customer"], "classes": ["lineitem"], "schedules": ["lineitem"], "performance": ["lineitem"], "aum": ["supplier"], "issues": ["part"], "links": ["part"], "chunks": ["conversations"]}
 #: The fund's date stands in the class's row before rules read it.
@@ -149,7 +150,7 @@ def unlisted_files(spark, sf):
     return p.select("page_id", F.regexp_extract("url", "([^/]+)$", 1).alias("file")).filter("file <> ''").join(listed, F.col("file") == F.col("name"), "left_anti")
 
 
-@query("""select row_number() over (order by ordinal, doc, page, part) as seq, concat('CHUNK', lpad(cast(row_number() over (order by ordinal, doc, page, part) as string), 6, '0')) as chunk_id, kind, doc, page, part, sha256(body) as chunk_hash, length(body) as chars
+@query("""select row_number() over (order by ordinal, doc, page, part) as seq, concat('CHUNK', case when row_number() over (order by ordinal, doc, page, part) < 1000000 then lpad(cast(row_number() over (order by ordinal, doc, page, part) as string), 6, '0') else cast(row_number() over (order by ordinal, doc, page, part) as string) end) as chunk_id, kind, doc, page, part, sha256(body) as chunk_hash, length(body) as chars
 from (select 0 as ordinal, 'page' as kind, conv_id as doc, turn as page, 1 as part, text as body from conversations where text is not null
 union all select 1, 'inception', o_custkey, null, 1, concat('Inception ', min(cast(cast(o_orderdate as date) as string))) from orders where o_orderstatus = 'F' group by o_custkey
 union all select 2, 'issue', p_partkey, p_size, 1, concat(p_type, ': ', p_name) from part where p_size < 5)""")
@@ -254,6 +255,56 @@ def rules_audit(spark, sf):
     return A.audit_violations(spark, A.chunk_facts(m["documents"], m["chunks"], _CORE), m)
 
 
+@query("," + _FACTS.replace("m_documents", "old_documents").replace("m_chunks", "old_chunks").replace("b as (select", "old_documents as (select * from m_documents union all select * from m_documents), old_chunks as (select * from m_chunks union all select * from m_chunks), b as (select", 1) + """select r.rule_id, r.metric, f.value, r.expected from (values ('V62', 'documents_total', (select count(*) from m_documents)), ('V63', 'documents_chunked', (select count(*) from m_documents)),
+('V64', 'chunks_total', (select count(*) from m_chunks)), ('V65', 'source_issue_chunks', (select count(*) from m_issues)), ('V66', 'empty_chunks', 0), ('V67', 'missing_provenance_chunks', 0),
+('V68', 'within_document_duplicate_hash_groups', 0), ('V69', 'documents_without_chunks', 0), ('V70', 'documents_missing_core_sections', 0)) r(rule_id, metric, expected)
+join f on f.metric = r.metric where f.value <> r.expected""", "documents", "chunks", "issues")
+def rules_audit_stale(spark, sf):
+    """V62 to V70 on the audit of a loading that doubled every row, held against the tables as they are."""
+    m = model(spark, sf, "documents", "chunks", "issues")
+    twice = lambda n: m[n].unionAll(m[n])
+    return A.audit_violations(spark, A.chunk_facts(twice("documents"), twice("chunks"), _CORE), m)
+
+
+@query(""", l as (select 'missing_inception_date' as list, fund_id as key from m_funds where coalesce(inception_date, '') = '' union all select 'unresolved_status', fund_id from m_funds where coalesce(inception_status, '') in ('', 'REVIEWED')
+union all select 'missing_aum', fund_id from m_funds where fund_id not in (select fund_id from m_aum) union all select 'missing_classes', fund_id from m_funds where fund_id not in (select fund_id from m_classes)
+union all select 'high_risk', fund_id from m_funds where risk_grade <= 1),
+r as (select *, row_number() over (partition by list order by key) as n from l)
+select list, count(*) as n, array_to_string(list(cast(key as varchar) order by key) filter (where n <= 20), '|') as first from r group by 1""", "funds", "aum", "classes")
+def gap_lists(spark, sf):
+    """Funds under each gap, and the first twenty of each."""
+    m = model(spark, sf, "funds", "aum", "classes")
+    has = lambda n: m[n].select(F.col("fund_id").alias("key_of"), F.lit(True).alias(f"has_{n}")).distinct()
+    f = m["funds"]
+    for n in ("aum", "classes"):
+        f = f.join(has(n), F.col("fund_id") == F.col("key_of"), "left").drop("key_of")
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    lists = A.listed(f, "fund_id", {
+        "missing_inception_date": blank("inception_date"), "unresolved_status": blank("inception_status") | (F.col("inception_status") == "REVIEWED"), "missing_aum": F.col("has_aum").isNull(),
+        "missing_classes": F.col("has_classes").isNull(), "high_risk": F.col("risk_grade") <= 1,
+    })
+    return A.examples(lists).select("list", "n", F.array_join(F.col("first").cast("array<string>"), "|").alias("first"))
+
+
+@query("""select c.class_id, c.class_inception_date as since, date_diff('month', cast(c.class_inception_date as date), date '2002-01-01') as months from m_classes c
+where c.class_inception_status = 'ESTABLISHED' and length(c.class_inception_date) = 10""", "funds", "classes")
+def months_since(spark, sf):
+    """Q23 over all dates: whole months from each class's own date, for established classes only."""
+    c = model(spark, sf, "classes")["classes"].filter("class_inception_status = 'ESTABLISHED' and length(class_inception_date) = 10")
+    day = F.col("class_inception_date").cast("date")
+    months = (2002 - F.year(day)) * 12 + 1 - F.month(day)
+    return c.select("class_id", F.col("class_inception_date").alias("since"), months.cast("long").alias("months"))
+
+
+@query("""select chunk_id, source_doc_id, source_page, section from m_chunks where section = 'assistant' and contains(source_text, 'the') union all
+select chunk_id, source_doc_id, source_page, section from m_chunks where section = 'user' and regexp_matches(source_text, 'an (of|the|ou)|lea')""", "chunks")
+def cited_by_keyword(spark, sf):
+    """Q18, Q25 and Q26: chunks of a section by keywords, with the page to cite."""
+    c = model(spark, sf, "chunks")["chunks"]
+    hit = ((F.col("section") == "assistant") & F.col("source_text").contains("the")) | ((F.col("section") == "user") & F.col("source_text").rlike("an (of|the|ou)|lea"))
+    return c.filter(hit).select("chunk_id", "source_doc_id", "source_page", "section")
+
+
 @query("""select p_partkey, segment from part, (values ('steel', 'STEEL'), ('tin', 'TIN|NICKEL'), ('promo', 'PROMO|ECONOMY'), ('plated', 'PLATED')) s(segment, pattern)
 where regexp_matches(concat_ws(' ', p_name, p_type), pattern)""")
 def fund_segments(spark, sf):
@@ -284,6 +335,12 @@ def issue_reasons(spark, sf):
     return A.issue_reasons(model(spark, sf, "issues")["issues"])
 
 
+@query("""select class_id, fund_id, class_name_normalized from (select c.*, row_number() over (partition by fund_id, class_name_normalized order by class_id) as n from m_classes c) where n > 1""", "classes")
+def duplicate_offenders(spark, sf):
+    """Each row that repeats a key, not the key alone."""
+    return R.repeated_rows(model(spark, sf, "classes")["classes"], ["fund_id", "class_name_normalized"], ["class_id"]).select("class_id", "fund_id", "class_name_normalized")
+
+
 def queries() -> dict:
     return dict(_Q)
 

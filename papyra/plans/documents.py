@@ -17,6 +17,7 @@ from papyra.operators import evidence as E
 from papyra.operators import layout as L
 from papyra.operators import matching as M
 from papyra.operators import relational as R
+from papyra.operators import reshape as S
 from papyra.operators import rules as U
 from papyra.scratch import new_path, settle
 from papyra.sources import files, pdf, pdf_sink, split_csv
@@ -310,6 +311,58 @@ def chunk_rows(spark, sf):
     return out.select("seq", "chunk_id", "kind", "doc", "page", "section", "source_file", "part", "chunk_hash")
 
 
+@query("""
+WITH v AS (SELECT l_orderkey, list(l_tax ORDER BY l_linenumber, l_partkey, l_tax) AS vals, list(l_discount ORDER BY l_linenumber, l_partkey, l_tax) AS other, min(l_linenumber) AS k FROM lineitem GROUP BY 1 HAVING count(*) <= 5),
+l AS (SELECT *, CASE len(vals) WHEN 5 THEN ['1Y', '2Y', '3Y', '5Y', 'SINCE_INCEPTION'] WHEN 4 THEN ['1Y', '2Y', '3Y', 'SINCE_INCEPTION'] WHEN 3 THEN ['1Y', '2Y', 'SINCE_INCEPTION'] WHEN 2 THEN ['1Y', 'SINCE_INCEPTION'] ELSE ['SINCE_INCEPTION'] END AS p FROM v)
+SELECT l_orderkey, p[i] AS label, vals[i] AS value, CASE WHEN k = 1 THEN other[i] ELSE [4.5, 4.6, 3.8, 2.8, 2.6][i] END::DOUBLE AS beside FROM l, unnest(range(1, len(vals) + 1)) AS u(i)
+""")
+def ragged_vectors(spark, sf):
+    """Vectors of one to five values with the labels of their length, and a default vector where a row has none."""
+    order = F.struct("l_linenumber", "l_partkey", "l_tax", "l_discount")
+    v = t(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(order)).alias("r"), F.min("l_linenumber").alias("k")).filter("size(r) <= 5")
+    v = v.select("l_orderkey", F.col("r.l_tax").alias("vals"), F.when(F.col("k") == 1, F.col("r.l_discount")).alias("other"))
+    periods = B.PERIODS
+    labels = {n: [*periods[: n - 1], periods[-1]] if n < 5 else periods for n in range(1, 6)}
+    return S.vector_rows(v, ["l_orderkey"], "vals", labels, "other", default=[4.5, 4.6, 3.8, 2.8, 2.6])
+
+
+@query("""SELECT l_orderkey, CASE l_returnflag WHEN 'A' THEN '1Y' WHEN 'N' THEN '2Y' ELSE 'SINCE_INCEPTION' END AS label, sum(l_quantity) AS value, max(l_tax) AS beside FROM lineitem GROUP BY l_orderkey, l_returnflag""")
+def measure_objects(spark, sf):
+    """A map of named measures a record as rows."""
+    per = t(spark, sf, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(F.sum("l_quantity").alias("value"), F.max("l_tax").alias("bench"))
+    maps = per.groupBy("l_orderkey").agg(F.map_from_entries(F.collect_list(F.struct("l_returnflag", F.struct("value", "bench")))).alias("m"))
+    return S.measure_rows(maps, ["l_orderkey"], "m", {"A": "1Y", "N": "2Y", "R": "SINCE_INCEPTION"})
+
+
+@query("""SELECT conv_id, turn, 'CLASS' || CASE WHEN n < 1000000 THEN lpad(n::VARCHAR, 6, '0') ELSE n::VARCHAR END AS id FROM (SELECT conv_id, turn, conv_id * 9000 + row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n FROM conversations)""")
+def position_ids(spark, sf):
+    """Ids from a group's start and the row's place in it."""
+    c = t(spark, sf, "conversations").select("conv_id", "turn")
+    starts = c.select("conv_id").distinct().withColumn("start", F.col("conv_id") * 9000)
+    return S.position_ids(c, "conv_id", ["turn"], starts, "start", "CLASS")
+
+
+@query("""SELECT o_orderkey, CASE WHEN ok THEN round(o_totalprice / 100000, 3) END AS total_fee, CASE WHEN ok THEN 0.12::DOUBLE END AS management_fee, CASE WHEN ok THEN 0.01::DOUBLE END AS trust_fee,
+CASE WHEN ok THEN round(round(o_totalprice / 100000, 3) - 0.13, 3) END AS sales_fee FROM (SELECT *, o_orderstatus = 'F' AS ok FROM orders)""")
+def exact_components(spark, sf):
+    """Components where the total is known to be made of them, nothing elsewhere."""
+    o = t(spark, sf, "orders").select("o_orderkey", F.round(F.col("o_totalprice") / 100000, 3).alias("total_fee"), "o_orderstatus")
+    return S.exact_components(o, "total_fee", {"management_fee": 0.12, "trust_fee": 0.01}, "sales_fee", F.col("o_orderstatus") == "F").drop("o_orderstatus")
+
+
+@query("""SELECT c_custkey, CASE WHEN f.id IS NOT NULL THEN NULL ELSE born END AS inception_date, CASE WHEN f.id IS NOT NULL THEN 'NOT_ESTABLISHED' WHEN born IS NULL THEN 'NOT_DISCLOSED' ELSE 'ESTABLISHED' END AS inception_status, f.planned AS inception_scheduled_date,
+  CASE WHEN f.id IS NULL THEN '4|9' ELSE '4|9|11' END AS source_page, c_name || CASE WHEN f.id IS NULL THEN '' ELSE ' | [p.9|11] new' END AS source_text
+FROM customer LEFT JOIN (SELECT o_custkey, min(strftime(o_orderdate, '%Y-%m-%d')) AS born FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) o ON o_custkey = c_custkey
+LEFT JOIN (SELECT s_suppkey * 5 AS id, CASE WHEN s_suppkey % 2 = 0 THEN '2023-04-03' END AS planned FROM supplier) f ON f.id = c_custkey""")
+def fund_status(spark, sf):
+    """Status by date, then reviewed overrides that replace date, status and plan, with pages united and texts joined."""
+    born = t(spark, sf, "orders").filter("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("inception_date"))
+    funds = t(spark, sf, "customer").join(born, "c_custkey", "left").select("c_custkey", "inception_date", F.lit("4|9").alias("source_page"), F.col("c_name").alias("source_text"))
+    fixes = t(spark, sf, "supplier").select((F.col("s_suppkey") * 5).alias("c_custkey"), F.lit(None).cast("string").alias("inception_date"), F.lit("NOT_ESTABLISHED").alias("inception_status"),
+        F.when(F.col("s_suppkey") % 2 == 0, "2023-04-03").alias("inception_scheduled_date"), F.lit("9|11").alias("source_page"), F.lit("new").alias("source_text"))
+    return E.status_with_overrides(funds, fixes, "c_custkey")
+
+
 def queries() -> dict:
     return dict(_Q)
 
