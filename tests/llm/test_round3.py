@@ -11,7 +11,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from conftest import DATA, same  # noqa: E402
 
-from papyra.llm import divergence, filter_audit, prefix_counts  # noqa: E402
+from papyra.llm import divergence, filter_audit, line_dedup, prefix_counts  # noqa: E402
 from papyra.llm import queries as Q  # noqa: E402
 
 ODD = [
@@ -174,3 +174,59 @@ def test_prefix_counts_query(spark):
     for r in Q.op12_prefix_counts(spark, DATA).collect():
         assert (r["n_bytes"], r["n_tokens"]) == want[r["doc_id"]] and r["over_limit"] == (r["n_tokens"] > 2048)
         assert (r["fit_tokens"] <= 2048) and (r["over_limit"] or r["fit_tokens"] == r["n_tokens"])
+
+
+def edits(a, b) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def is_near(a: str, b: str, least: float = 0.8) -> bool:
+    x, y = a.split(), b.split()
+    most = lambda n, part: int(part * n + 1e-9)
+    size, e = max(len(x), len(y)), edits(x, y)
+    return e <= most(size, 1 - least) or (e <= most(size, 0.5) and edits(a, b) <= most(max(len(a), len(b)), 1 - least))
+
+
+@pytest.mark.parametrize("letters", [0xD000, 5])
+def test_line_links_are_near_whatever_words_collide(spark, monkeypatch, letters):
+    """Words that share a letter while candidates are sorted out aren't taken for equal: each group is one of near lines or of chains of them."""
+    import random
+    import string
+
+    monkeypatch.setattr(line_dedup, "LETTERS", letters)
+    rng = random.Random(letters)
+    word = lambda: "".join(rng.choice(string.ascii_lowercase) for _ in range(9))
+    lines = [f"order {word()} {word()} was sent by us today" for _ in range(60)]
+    for _ in range(20):
+        base = [word() for _ in range(rng.choice([6, 10, 14]))]
+        lines.append(" ".join(base))
+        for _ in range(3):
+            other = list(base)
+            for _ in range(rng.choice([1, 2, 4])):
+                other[rng.randrange(len(other))] = word()
+            lines.append(" ".join(other))
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    made = line_dedup._lines(line_dedup._keyed(docs, "doc_id", "text"), 5, 0.8, True).filter("counts").cache()
+    of = {r["node"]: r["line"] for r in made.select("node", "line").collect()}
+    found: dict = {}
+    for r in line_dedup.groups(made, 0.8).collect():
+        found.setdefault(r["root"], []).append(of[r["node"]])
+    root = {x: x for x in lines}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(root), 2):
+        if is_near(a, b):
+            root[top(a)] = top(b)
+    assert any(len(g) > 1 for g in found.values())
+    for group in found.values():
+        assert len({top(x) for x in group}) == 1
+    assert all(r["n_removed"] == 0 for r in line_dedup.dedup(docs.filter("doc_id < 60"), all_lines=True).collect())
