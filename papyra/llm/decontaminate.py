@@ -23,13 +23,18 @@ _OUT = "doc_id long, text string, n_words long, hit_start array<long>, hit_end a
 
 
 class TestNgrams:
-    """The windows of benchmark items, by length: sorted hashes with the place and the item of each, over one buffer of normalised words."""
+    """The different windows of benchmark items, by length: sorted hashes with a place of each over one buffer of normalised words, and the items that have it.
+
+    Items are numbered in the order of their ids as strings, each id once.
+    """
 
     def __init__(self, ids: list, texts: list, window: int = WINDOW):
         data, offsets = B.utf8(pa.array(texts, pa.large_string()))
         w = B.Words(data, offsets, B.ALNUM)
         hashes, size = w.hashes(lower=True), w.end - w.start
-        self.ids = ids
+        self.ids = sorted({str(i) for i in ids if i is not None})
+        number = {i: k for k, i in enumerate(self.ids)}
+        number_of = np.array([-1 if i is None else number[str(i)] for i in ids], np.int32)
         # The words with one space between, so that any window is a slice.
         self.begin = np.cumsum(size + 1) - size - 1
         self.end = self.begin + size
@@ -41,17 +46,40 @@ class TestNgrams:
         for n in np.unique(length[length > 0]).tolist():
             start, count = B.gram_texts(w.first, n)
             item = np.repeat(np.arange(len(count)), count)
-            start, item = start[length[item] == n], item[length[item] == n].astype(np.int32)
+            start, item = start[length[item] == n], item[length[item] == n]
             keys = B.grams(hashes, n)[start]
             order = np.argsort(keys, kind="stable")
+            keys, start, item = keys[order], start[order], number_of[item[order]]
+            first, group = self._different(keys, start, n)
+            # The items of each window, each once, as one array with bounds.
+            pair = np.unique(group.astype(np.int64) << 32 | item.astype(np.int64) + 1)
+            pair = pair[(pair & 0xFFFFFFFF) > 0]
+            bounds = np.searchsorted(pair >> 32, np.arange(len(first) + 1))
             table = np.zeros(1 << _BITS, bool)
             table[(keys & B.U((1 << _BITS) - 1)).astype(np.int64)] = True
-            self.by_length[n] = keys[order], start[order], item[order], table
-
-    def hits(self, w: B.Words) -> list[tuple[int, int, set[str]]]:
-        """Each place (first word, words) of a run of texts where a window occurs, with the items that have it."""
+            self.by_length[n] = keys[first], start[first], bounds, ((pair & 0xFFFFFFFF) - 1).astype(np.int32), table
+
+    def _window(self, start: int, n: int) -> bytes:
+        return self.text[self.begin[start] : self.end[start + n - 1]].tobytes()
+
+    def _different(self, keys: np.ndarray, start: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The first place of each different window among sorted keys, and which of them each place has."""
+        head = np.ones(len(keys), bool)
+        head[1:] = keys[1:] != keys[:-1]
+        # Windows of one hash are nearly always equal; the few that aren't become windows of their own.
+        for k in np.flatnonzero(~head).tolist():
+            head[k] = self._window(start[k], n) != self._window(start[k - 1], n)
+        return np.flatnonzero(head), np.cumsum(head) - 1
+
+    def items_of(self, n: int, k: int) -> np.ndarray:
+        """The numbers of the items that have window k of n words."""
+        _, _, bounds, items, _ = self.by_length[n]
+        return items[bounds[k] : bounds[k + 1]]
+
+    def hits(self, w: B.Words) -> list[tuple[int, int, int]]:
+        """Each place (first word, words) of a run of texts where a window occurs, and its number. Equal windows are compared once, whatever number of items have them."""
         hashes, out = w.hashes(lower=True), []
-        for n, (keys, start, item, table) in self.by_length.items():
+        for n, (keys, start, _, _, table) in self.by_length.items():
             at, _ = B.gram_texts(w.first, n)
             h = B.grams(hashes, n)[at]
             near = np.flatnonzero(table[(h & B.U((1 << _BITS) - 1)).astype(np.int64)])
@@ -59,9 +87,8 @@ class TestNgrams:
             some = hi > lo
             for p, x, y in zip(at[near[some]].tolist(), lo[some].tolist(), hi[some].tolist(), strict=True):
                 own = b" ".join(w.span(p, p + n, lower=True))
-                same = [k for k in range(x, y) if self.text[self.begin[start[k]] : self.end[start[k] + n - 1]].tobytes() == own]
-                if same:
-                    out.append((p, n, {str(self.ids[item[k]]) for k in same if self.ids[item[k]] is not None}))
+                same = [k for k in range(x, y) if self._window(start[k], n) == own]
+                out += [(p, n, k) for k in same]
         return out
 
 
@@ -99,31 +126,38 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 def _scanner(tests, carried: bool):
     def run(batches):
         known = tests.value
+        names = pa.array(known.ids, pa.string())
         for b in batches:
             ids, texts = b.column("doc_id"), b.column("text")
             data, offsets = B.utf8(texts)
             for i, j, piece, off in B.pieces(data, offsets):
                 w = B.Words(piece, off, B.ALNUM)
                 flags, owner = np.zeros(len(w) + 1, np.int64), np.repeat(np.arange(j - i), w.count)
-                items: list[set[str]] = [set() for _ in range(i, j)]
-                for p, n, found in known.hits(w):
+                windows: list[set[tuple[int, int]]] = [set() for _ in range(i, j)]
+                for p, n, k in known.hits(w):
                     flags[p] += 1
                     flags[p + n] -= 1
-                    items[owner[p]] |= found
+                    windows[owner[p]].add((n, k))
+                items = [np.unique(np.concatenate([known.items_of(*x) for x in found])) if found else np.zeros(0, np.int32) for found in windows]
                 hit = np.cumsum(flags)[:-1] > 0
-                starts, ends = [], []
+                starts, ends, lists = [], [], []
                 for d in range(j - i):
                     lo, hi = int(w.first[d]), int(w.first[d + 1])
                     own = hit[lo:hi].copy()
                     if carried:
                         for s, e in zip(b.column("hit_start")[i + d].as_py(), b.column("hit_end")[i + d].as_py(), strict=True):
                             own[s:e] = True
-                        items[d] |= set(b.column("items")[i + d].as_py())
+                        lists.append(sorted({known.ids[k] for k in items[d]} | set(b.column("items")[i + d].as_py())))
                     s, e = _runs(own) if own.any() else ([], [])
                     starts.append(s)
                     ends.append(e)
+                if carried:
+                    listed = pa.array(lists, pa.list_(pa.string()))
+                else:
+                    at = np.concatenate([[0], np.cumsum([len(x) for x in items])])
+                    listed = pa.ListArray.from_arrays(pa.array(at, pa.int32()), names.take(pa.array(np.concatenate(items) if items else np.zeros(0, np.int32))))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, j - i), texts.slice(i, j - i), pa.array(w.count), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
+                    [ids.slice(i, j - i), texts.slice(i, j - i), pa.array(w.count), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), listed],
                     names=["doc_id", "text", "n_words", "hit_start", "hit_end", "items"],
                 )
 
