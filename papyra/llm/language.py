@@ -10,6 +10,7 @@ and priors are grouped sums of the text model's posteriors over all pages.
 from __future__ import annotations
 
 import re
+from html import unescape
 
 import numpy as np
 import pyarrow as pa
@@ -85,16 +86,17 @@ def page_evidence(url: str | None, html: str | None) -> tuple[str, str, str, str
     h = _HOST.match(url or "")
     host = h[1].lower().rstrip(".") if h else ""
     parts = host.split(".")
-    text = _TAG.sub(" ", _HIDDEN.sub(" ", html))
+    text = unescape(_TAG.sub(" ", _HIDDEN.sub(" ", html)))
     return host, ".".join(parts[-2:]), parts[-1], declared, text.encode()
 
 
 def identify(pages: DataFrame, model: TextModel, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, lang, confidence, text_lang, declared, host) of every page.
 
-    A page's own text is taken out of its host's and domain's sums. A null
-    address or page has empty evidence and is judged by the rest; equal rows
-    are judged alike; ties go to the language first by name. A declared
+    A page's own text is taken out of every sum that it is judged by. A null
+    address or page, and a page that declares nothing, has no evidence of that
+    kind and is judged by the rest, at last by how common the languages are;
+    equal rows are judged alike; ties go to the language first by name. A declared
     language that the model doesn't know counts as "other". Without any
     trained language the result's lang is null.
     """
@@ -126,24 +128,28 @@ def identify(pages: DataFrame, model: TextModel, id_col: str = "page_id", url_co
 
     total = table().first()
     n_all, s_all = total["n"] or 0, [x or 0.0 for x in total["s"]]
-    every = [(s + 1) / (n_all + k) for s in s_all]
     # Declared values are one of the known languages, "other" or "": a table of bounded size.
     seen = {r["declared"]: r["s"] for r in table("declared").collect()}
-    likely = {d: [float(np.log((s[i] + 0.5) / (s_all[i] + 0.5 * (k + 2)))) for i in range(k)] for d, s in seen.items()}
     arr = lambda v: F.array(*[F.lit(float(x)) for x in v])
-    by_declared = arr([0.0] * k)
-    for d, v in sorted(likely.items()):
-        by_declared = F.when(F.col("declared") == d, arr(v)).otherwise(by_declared)
-    hosts = table("host", "domain", "suffix")
+    by_value = arr([0.0] * k)
+    for d, v in sorted(seen.items()):
+        by_value = F.when(F.col("declared") == d, arr(v)).otherwise(by_value)
+    hosts = table("host", "domain", "suffix").filter("host <> ''")
     domains = hosts.groupBy("domain").agg(F.sum("n").alias("n_domain"), F.array(*[F.sum(F.get("s", F.lit(i))) for i in range(k)]).alias("s_domain"))
     suffixes = hosts.groupBy("suffix").agg(F.array(*[F.sum(F.get("s", F.lit(i))) for i in range(k)]).alias("s_suffix"))
     n_suffix = suffixes.count()
-    by_suffix = F.transform("s_suffix", lambda x, i: F.log((x + 0.5) / (F.get(arr(s_all), i) + 0.5 * n_suffix)))
-    hosts = hosts.join(domains, "domain").join(suffixes, "suffix").select("host", F.col("n").alias("n_host"), F.col("s").alias("s_host"), "n_domain", "s_domain", by_suffix.alias("by_suffix"))
-    own = soft.join(hosts, "host").withColumn("by_declared", by_declared)
-    domain = lambda i: (F.get("s_domain", i) - F.get("p", i) + SMOOTHING * F.get(arr(every), i)) / (F.col("n_domain") - 1 + SMOOTHING)
-    host = lambda i: (F.get("s_host", i) - F.get("p", i) + SMOOTHING * domain(i)) / (F.col("n_host") - 1 + SMOOTHING)
-    score = F.transform("ll", lambda x, i: x + F.get("by_declared", i) + F.get("by_suffix", i) + F.log(F.greatest(host(i), F.lit(1e-9))))
+    hosts = hosts.join(domains, "domain").join(suffixes, "suffix").select("host", F.col("n").alias("n_host"), F.col("s").alias("s_host"), "n_domain", "s_domain", "s_suffix")
+    own = soft.join(hosts, "host", "left").withColumn("s_declared", by_value)
+    # The page itself is taken out of every sum; a sum that is left empty by rounding is 0.
+    rest = lambda sums, i: F.greatest((F.get(sums, i) if isinstance(sums, str) else F.get(arr(sums), i)) - F.get("p", i), F.lit(0.0))
+    likely = lambda sums, i, values: F.log((rest(sums, i) + 0.5) / (rest(s_all, i) + 0.5 * values))
+    every = lambda i: (rest(s_all, i) + 1) / (n_all - 1 + k)
+    domain = lambda i: (rest("s_domain", i) + SMOOTHING * every(i)) / (F.col("n_domain") - 1 + SMOOTHING)
+    host = lambda i: (rest("s_host", i) + SMOOTHING * domain(i)) / (F.col("n_host") - 1 + SMOOTHING)
+    addressed = F.col("host") != ""
+    by_declared = lambda i: F.when(F.col("declared") == "", 0.0).otherwise(likely("s_declared", i, k + 2))
+    by_address = lambda i: F.when(addressed, likely("s_suffix", i, n_suffix) + F.log(F.greatest(host(i), F.lit(1e-9)))).otherwise(F.log(every(i)))
+    score = F.transform("ll", lambda x, i: x + by_declared(i) + by_address(i))
     best = F.array_max("score")
     name = lambda at: F.get(F.array(*[F.lit(x) for x in langs]), (at - 1).cast("int"))
     return own.withColumn("score", score).select(
