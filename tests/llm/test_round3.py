@@ -11,7 +11,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from conftest import DATA, same  # noqa: E402
 
-from papyra.llm import divergence, filter_audit, line_dedup, prefix_counts  # noqa: E402
+from papyra.llm import decontaminate, divergence, filter_audit, language, licenses, line_dedup, prefix_counts, quality  # noqa: E402
 from papyra.llm import queries as Q  # noqa: E402
 
 ODD = [
@@ -230,3 +230,146 @@ def test_line_links_are_near_whatever_words_collide(spark, monkeypatch, letters)
     for group in found.values():
         assert len({top(x) for x in group}) == 1
     assert all(r["n_removed"] == 0 for r in line_dedup.dedup(docs.filter("doc_id < 60"), all_lines=True).collect())
+
+
+def plain_fusion(pages, model):
+    """Every page's score from all other pages, one at a time."""
+    import math
+
+    k, seen = len(model.langs), []
+    for i, url, html in pages:
+        host, domain, suffix, declared, raw = language.page_evidence(url, html)
+        ll = list(model.evidence(raw))
+        whole = sum(map(math.exp, ll))
+        seen.append((i, host, domain, suffix, declared if declared in model.langs or not declared else "other", ll, [math.exp(x) / whole for x in ll]))
+    n_suffix = len({r[3] for r in seen if r[1]})
+    out = {}
+    for me, (i, host, domain, suffix, declared, ll, _) in enumerate(seen):
+        others = [r for j, r in enumerate(seen) if j != me]
+        total = lambda test, a: sum(r[6][a] for r in others if test(r))
+        size = lambda test: sum(1 for r in others if test(r))
+        score = []
+        for a in range(k):
+            every = (total(lambda r: True, a) + 1) / (len(others) + k)
+            x = ll[a]
+            if declared:
+                x += math.log((total(lambda r: r[4] == declared, a) + 0.5) / (total(lambda r: True, a) + 0.5 * (k + 2)))
+            if host:
+                x += math.log((total(lambda r: r[1] and r[3] == suffix, a) + 0.5) / (total(lambda r: True, a) + 0.5 * n_suffix))
+                of_domain = (total(lambda r: r[1] and r[2] == domain, a) + language.SMOOTHING * every) / (size(lambda r: r[1] and r[2] == domain) + language.SMOOTHING)
+                x += math.log(max((total(lambda r: r[1] == host, a) + language.SMOOTHING * of_domain) / (size(lambda r: r[1] == host) + language.SMOOTHING), 1e-9))
+            else:
+                x += math.log(every)
+            score.append(x)
+        out[i] = (model.langs[score.index(max(score))], 1 / sum(math.exp(x - max(score)) for x in score))
+    return out
+
+
+def test_language_of_pages_that_only_other_evidence_can_decide(spark):
+    model = language.train(Q.table(spark, DATA, "documents"))
+    texts = {r["lang"]: r["text"] for r in Q.table(spark, DATA, "documents").filter("length(text) > 600").collect()}
+    langs = sorted(texts)[:3]
+    page = lambda lang, text: f"<html lang='{lang}'><p>{text}</p>" if lang else f"<p>{text}</p>"
+    pages = []
+    for n in range(12):
+        for lang in langs:
+            host = f"http://{'www' if n % 2 else 'm'}.{lang}site.{'com' if n % 3 else lang}/a{n}"
+            pages.append((len(pages), host if n % 4 else None, page(lang if n % 3 else None, texts[lang][40 * n : 40 * n + 200])))
+    first = len(pages)
+    empty = [(f"http://m.{langs[0]}site.com/", ""), (None, page(langs[1], "")), (None, None), ("", ""), (f"http://new.{langs[2]}site.com", "<p></p>"), ("http://x.net", page("zz", "")), (None, page(langs[1], "&lt;&amp;"))]
+    pages += [(first + n, u, h) for n, (u, h) in enumerate(empty)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").selectExpr("*", "1 AS host", "2 AS p", "3 AS n")
+    got = {r["page_id"]: (r["lang"], r["confidence"]) for r in language.identify(df, model).collect()}
+    want = plain_fusion(pages, model)
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(abs(got[k][1] - want[k][1]) < 1e-6 for k in want)
+    assert [got[first + n][0] for n in (0, 1, 4)] == [langs[0], langs[1], langs[2]]
+
+
+def test_declared_language_of_an_empty_page_without_address(spark):
+    model = language.train(Q.table(spark, DATA, "documents"))
+    texts = {r["lang"]: r["text"][:400] for r in Q.table(spark, DATA, "documents").filter("length(text) > 600").collect()}
+    pages = [(n, f"http://h{n % 5}.example.{'com' if n % 2 else 'org'}/{n}", f"<html lang='{'en' if n % 2 else 'fr'}'>{texts['en' if n % 2 else 'fr']}") for n in range(40)] + [(99, None, "<html lang='en'>")]
+    got = {r["page_id"]: r["lang"] for r in language.identify(spark.createDataFrame(pages, "page_id long, url string, html string"), model).collect()}
+    assert got[99] == "en"
+
+
+def plain_windows(docs, items, n=10):
+    """Hit words and items of each document by comparing every window."""
+    import hashlib
+    import re
+
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+    windows: dict = {}
+    for i, text in items:
+        w = words(text)
+        for k in range(max(len(w) - n, 0) + 1 if w else 0):
+            windows.setdefault(tuple(w[k : k + min(n, len(w))]), set()).add(i)
+    out = {}
+    for i, text in docs:
+        w, hit, found = words(text), set(), set()
+        for size in {len(x) for x in windows}:
+            for k in range(len(w) - size + 1):
+                if (own := tuple(w[k : k + size])) in windows:
+                    hit |= set(range(k, k + size))
+                    found |= windows[own]
+        ids = sorted(str(x) for x in found if x is not None)
+        out[i] = (len(w), len(hit), len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), bool(hit))
+    return out
+
+
+@pytest.mark.parametrize("block_bytes", [8 << 20, 300])
+def test_shared_benchmark_windows(spark, block_bytes):
+    """Items with one opening, repeated and missing ids, and short items; in one block and in several."""
+    opening = "which of the following statements about the passage above is true"
+    items = [(k, f"{opening} x{k} y{k} z{k}") for k in range(30)] + [(5, f"{opening.upper()} again"), (None, opening + " lost"), (None, "only nameless words stand in this one item here"), (40, "two words"), (41, "Two, words!"), (42, ""), (43, None)]
+    docs = [(1, f"text {opening} x3 y3 z3 and more"), (2, f"{opening}"), (3, "so only nameless words stand in this one item here"), (4, "these two words, and two words"), (5, None), (6, ""), (7, opening[:40])]
+    found = decontaminate.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_bytes=block_bytes)
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in decontaminate.report(found).collect()}
+    assert got == plain_windows(docs, items)
+
+
+def test_license_base_against_plain(spark):
+    """op5's base columns on given and odd texts: places of phrases word by word."""
+    import re
+
+    phrases = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
+    docs = [(r["doc_id"], r["text"]) for r in Q.table(spark, DATA, "documents").collect()]
+    docs += [(-1, None), (-2, ""), (-3, "MIT License, mit LICENSE"), (-4, "cc by cc by-sa"), (-5, "gnu gnu general public license apache license mit"), (-6, "é cc\u00a0by cc/by"), (-7, "x " * 70000 + "apache license"), (-3, "MIT License, mit LICENSE")]
+    want = []
+    for i, text in docs:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+        at, labels = [], set()
+        for phrase, label in phrases.items():
+            p = phrase.split()
+            for k in range(len(w) - len(p) + 1):
+                if w[k : k + len(p)] == p:
+                    at.append(k)
+                    labels.add(label)
+        want.append((i, len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(labels))))
+    got = licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels")
+    rows = got.collect()
+    assert sorted(map(repr, (tuple(r)[:6] for r in rows))) == sorted(map(repr, want))
+    assert all(set(filter(None, r["base_labels"].split(","))) <= set(filter(None, r["labels"].split(","))) for r in rows)
+
+
+def test_quality_base_against_plain(spark):
+    """op10's counts on given and odd texts."""
+    import re
+
+    docs = [(r["doc_id"], r["text"]) for r in Q.table(spark, DATA, "documents").collect()]
+    docs += [(-1, None), (-2, ""), (-3, "a b c d e a b c d e"), (-4, "x\n\nx\n x \nx"), (-5, "# * $%&|<> é"), (-6, "w " * 3000), (-7, "one two three four five six\u00a0seven"), (-3, "a b c d e a b c d e")]
+    want = []
+    for i, text in docs:
+        t = text or ""
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        grams = [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+        count: dict = {}
+        for g in grams:
+            count[g] = count.get(g, 0) + 1
+        twice = {k + j for k, g in enumerate(grams) if count[g] > 1 for j in range(5)}
+        want.append((i, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(twice), len(w) < 10 or 100 * len(twice) > 20 * len(w)))
+    got = quality.judge(spark.createDataFrame(docs, "doc_id long, text string"), Q.table(spark, DATA, "labels"))
+    rows = got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept").collect()
+    assert sorted(tuple(r)[:7] for r in rows) == sorted(want) and not any(r["base_failed"] and r["kept"] for r in rows)
