@@ -127,10 +127,10 @@ class LicenseScanner:
         good = self.keys[at] == h[near]
         near, token = near[good], at[good]
         owner = np.searchsorted(w.first, near, "right") - 1
-        # Runs of known words inside one text; one word alone is no phrase and no long match.
+        # Runs of known words inside one text; one word alone is no long match, and seldom a phrase.
         cut = np.flatnonzero((np.diff(near) != 1) | (np.diff(owner) != 0)) + 1 if len(near) else np.zeros(0, np.int64)
         begin, end = np.concatenate([[0], cut]).astype(np.int64), np.concatenate([cut, [len(near)]]).astype(np.int64)
-        long = end - begin >= 2
+        long = end - begin >= min([2, *self.base])
         base: dict[int, list[tuple[int, int]]] = {}
         match: dict[int, list[tuple[int, int, int]]] = {}
         for i, j in zip(begin[long].tolist(), end[long].tolist(), strict=True):
