@@ -373,3 +373,84 @@ def test_quality_base_against_plain(spark):
     got = quality.judge(spark.createDataFrame(docs, "doc_id long, text string"), Q.table(spark, DATA, "labels"))
     rows = got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept").collect()
     assert sorted(tuple(r)[:7] for r in rows) == sorted(want) and not any(r["base_failed"] and r["kept"] for r in rows)
+
+
+def test_phrases_of_one_word(spark):
+    scanner = licenses.LicenseScanner(phrases={"mit": "mit", "apache license": "apache"})
+    docs = spark.createDataFrame([(1, "foo mit bar"), (2, "MIT, mit and apache license"), (3, "apache"), (4, None)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) for r in licenses.scan(docs, scanner=scanner).collect()}
+    assert got == {1: (1, 1, 1, "mit"), 2: (3, 0, 3, "apache,mit"), 3: (0, None, None, ""), 4: (0, None, None, "")}
+
+
+PASSAGE = "Sharing one long passage of many different words makes two documents alike even if their ends differ slightly here"
+PIPED = [
+    (1, f"{PASSAGE} alpha beta gamma delta"), (2, f"{PASSAGE} alpha beta gamma delta"), (3, f"{PASSAGE} alpha beta gamma omega"), (4, None), (5, ""), (6, "too short"), (7, "other words entirely stand here for the seventh document of this small table"),
+    (7, "other words entirely stand here for the seventh document of this small table"), (None, "a document without an id that has its own different words to be kept by all"), (8, " ".join(f"word{k}" for k in range(30000))),
+]
+
+
+def piped(spark):
+    return spark.createDataFrame([(i, t, "en", "a" if t else None, len(t or ""), "clash", 1) for i, t in PIPED], "doc_id long, text string, lang string, source string, n_chars long, kept string, component_id int")
+
+
+def ids(df):
+    return sorted((r["doc_id"] for r in df.collect()), key=lambda i: (i is None, i))
+
+
+def test_pipeline_stages_of_odd_rows(spark):
+    """Nulls, empty and long texts, repeated rows and clashing names: every stage's own decisions, and nothing else, take effect."""
+    import corpus_pipeline as cp
+
+    docs, stages = piped(spark), dict(cp.STAGES)
+    out = {name: stage(spark, docs, DATA) for name, stage in cp.STAGES}
+    for name in list(stages)[:-1]:
+        assert out[name].columns == docs.columns
+    verdict = {r["doc_id"]: r["kept"] for r in quality.judge(docs, Q.table(spark, DATA, "labels")).collect()}
+    assert set(ids(out["quality_rules"])) == {i for i, _ in PIPED if verdict[i]} and not {4, 5, 6} & set(ids(out["quality_rules"]))
+    # 1 to 3 are near or equal, 7 stands twice, texts without words are linked with nothing.
+    assert ids(out["near_duplicates"]) == [1, 4, 5, 6, 7, 8, None]
+    bench = Q.table(spark, DATA, "benchmark").first()["text"]
+    with_test = docs.unionByName(docs.limit(1).withColumn("doc_id", F_lit(50)).withColumn("text", F_lit(f"before {bench} after")))
+    assert ids(stages["benchmark_decontamination"](spark, with_test, DATA)) == ids(docs)
+    mixed = out["source_mix"].collect()
+    assert all(sum(r["text"] == t and r["doc_id"] == i for r in mixed) <= 2 * sum(x == (i, t) for x in PIPED) for i, t in PIPED)
+    assert out["token_ids"].count() == len(PIPED)
+
+
+def F_lit(x):
+    from pyspark.sql import functions as F
+
+    return F.lit(x)
+
+
+def test_pipeline_stages_of_an_empty_table(spark):
+    import corpus_pipeline as cp
+
+    for _, stage in cp.STAGES:
+        assert stage(spark, piped(spark).limit(0), DATA).count() == 0
+
+
+def test_substrings_of_two_hundred_bytes(spark):
+    """op8 at its own length, with texts of several bytes a character and runs over piece borders."""
+    import random
+
+    from papyra.llm import substrings
+
+    rng = random.Random(8)
+    base = ["".join(rng.choice("abcdé 한") for _ in range(n)) for n in (400, 150, 260, 3000)]
+    texts = [base[0] + base[1], base[1] + base[0][30:], base[2] * 3, base[3], base[3][1000:] + "x", "y" * 450, "z" * 199, "", None, base[2][:120]]
+    raw = [(t or "").encode() for t in texts]
+    seen: dict = {}
+    for x in raw:
+        for p in range(len(x) - 199):
+            seen[x[p : p + 200]] = seen.get(x[p : p + 200], 0) + 1
+    want = {}
+    for i, x in enumerate(raw):
+        gone = [False] * len(x)
+        for p in range(len(x) - 199):
+            if seen[x[p : p + 200]] > 1:
+                gone[p : p + 200] = [True] * 200
+        spans = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
+        want[i] = len(x), sum(gone), spans, bytes(b for b, g in zip(x, gone) if not g)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in substrings.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 200).collect()}
+    assert got == want
