@@ -32,9 +32,9 @@ def first_match(text: Column, pattern: str, group: int = 1) -> Column:
 
 
 def iso_date(text: Column) -> Column:
-    """The first loose date (separated by . / - or spaces, or by 년 월 일) as YYYY-MM-DD, else null."""
-    sep = r"\s*[./\-년\s]\s*"
-    p = rf"(\d{{4}}){sep}(\d{{1,2}})\s*[./\-월\s]\s*(\d{{1,2}})"
+    """The first loose date (separated by . / - or spaces, or by 년 월 일) as YYYY-MM-DD, else null. Spaces are those of WS."""
+    sep = lambda unit: f"{WS}*[./\\-{unit}{WS[1:-1]}]{WS}*"
+    p = rf"(\d{{4}}){sep('년')}(\d{{1,2}}){sep('월')}(\d{{1,2}})"
     part = lambda k: F.lpad(F.regexp_extract(text, p, k), 4 if k == 1 else 2, "0")
     return F.when(text.rlike(p), F.concat_ws("-", part(1), part(2), part(3)))
 

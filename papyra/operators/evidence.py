@@ -72,6 +72,13 @@ def names_in(texts: DataFrame, text: str, pattern: str) -> DataFrame:
     return texts.select(F.explode(F.regexp_extract_all(text, F.lit(pattern), F.lit(1))).alias("name")).distinct()
 
 
+def backlog(files: DataFrame, done: DataFrame, duplicates: DataFrame, name: str = "file_name") -> DataFrame:
+    """The files whose name no row of ``done`` has, each with ``duplicate``: whether its name is among ``duplicates``. Files without a name are in no list."""
+    left = files.join(done.select(F.col(name).alias("done_name")), F.col(name) == F.col("done_name"), "left_anti")
+    flagged = duplicates.select(F.col(name).alias("same_name"), F.lit(True).alias("flag")).distinct()
+    return left.join(flagged, F.col(name) == F.col("same_name"), "left").select(*files.columns, F.coalesce("flag", F.lit(False)).alias("duplicate"))
+
+
 def count_map(rows: DataFrame, key: str, of: str, name: str) -> DataFrame:
     """(key, name): how many rows each value of ``of`` has, as a map; null values count under no key."""
     each = rows.filter(F.col(of).isNotNull()).groupBy(key, of).agg(F.count("*").alias("n"))

@@ -363,6 +363,37 @@ def fund_status(spark, sf):
     return E.status_with_overrides(funds, fixes, "c_custkey")
 
 
+@query("""WITH f AS (SELECT url AS file_name, regexp_extract(url, '://([^/]+)', 1) AS host FROM pages), h AS (SELECT host FROM f GROUP BY 1 HAVING count(*) > 1)
+SELECT file_name, host, host IN (SELECT host FROM h) AS duplicate FROM f WHERE file_name NOT IN (SELECT url FROM pages JOIN labels ON labels.doc_id = pages.page_id)""")
+def file_backlog(spark, sf):
+    """Pages that no label is of yet, flagged where their host has several."""
+    p = t(spark, sf, "pages").select(F.col("url").alias("file_name"), F.regexp_extract("url", "://([^/]+)", 1).alias("host"), "page_id")
+    done = p.join(t(spark, sf, "labels"), F.col("page_id") == F.col("doc_id"), "left_semi")
+    several = p.join(R.duplicates(p, ["host"]), "host", "left_semi")
+    return E.backlog(p.drop("page_id"), done, several)
+
+
+@query("""WITH s AS (SELECT o_custkey, o_orderstatus, max_by(o_orderpriority, struct_pack(a := o_orderkey, b := o_orderpriority)) AS last_priority FROM orders GROUP BY ALL)
+SELECT c_custkey, k.status, s.last_priority FROM customer CROSS JOIN (SELECT unnest(['F', 'O', 'P', 'X']) AS status) k LEFT JOIN s ON s.o_custkey = c_custkey AND s.o_orderstatus = k.status""")
+def enrich_by_two_keys(spark, sf):
+    """Enrichment by a key of two columns, of which the last row wins."""
+    c = t(spark, sf, "customer").select("c_custkey", F.explode(F.array(*map(F.lit, "FOPX"))).alias("status"))
+    e = t(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderstatus").alias("status"), "o_orderkey", F.col("o_orderpriority").alias("last_priority"))
+    return R.enrich(c, e, ["c_custkey", "status"], ["o_orderkey"]).select("c_custkey", "status", "last_priority")
+
+
+@query("""SELECT o_orderkey, o_orderdate, strftime(o_orderdate, '%Y-%m-%d') AS written, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS place FROM orders
+QUALIFY place <= 3 AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')""")
+def latest_of_listed(spark, sf):
+    """The three latest orders of customers outside an exclusion list, dates compared as loose text made whole."""
+    shapes = F.array(*[F.date_format("o_orderdate", p) for p in ("yyyy. M. d", "yyyy-MM-dd", "yyyy년 M월 d일", "yyyy/M/d")])
+    loose = F.get(shapes, (F.col("o_orderkey") % 4).cast("int"))
+    out = t(spark, sf, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
+    o = t(spark, sf, "orders").join(out, "o_custkey", "left_anti").withColumn("written", T.iso_date(loose))
+    ranked = o.withColumn("place", F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("written"), "o_orderkey")))
+    return ranked.filter("place <= 3").select("o_orderkey", "o_orderdate", "written", F.col("place").cast("long").alias("place"))
+
+
 def queries() -> dict:
     return dict(_Q)
 

@@ -81,7 +81,8 @@ def read_json_arrays(spark: SparkSession, path: str) -> DataFrame:
 
 
 def list_files(spark: SparkSession, root: str, suffix: str = ".pdf") -> DataFrame:
-    """(path, size, sha256) of files below a folder, by suffix in any case."""
+    """(path, issuer, size, sha256) of files below a folder, by suffix in any case; the issuer is the folder that a file lies in."""
     glob = "*" + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in suffix)
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(root)
-    return files.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    issuer = F.regexp_extract("path", "([^/]+)/[^/]+$", 1)
+    return files.select("path", issuer.alias("issuer"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))

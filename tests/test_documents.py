@@ -214,3 +214,28 @@ def test_lines_of_cells(spark):
     cells = [(1, 50.0, 700.2, "b"), (1, 10.0, 700.0, "a"), (1, 10.0, 699.7, "c"), (1, 5.0, 10.0, "z"), (2, 1.0, 1.0, "q"), (2, None, 1.0, "n")]
     got = L.lines(spark.createDataFrame(cells, "page int, x double, y double, str string"), ["page"]).orderBy("page", "line").collect()
     assert [(r["page"], r["line"], r["y"], [c["str"] for c in r["cells"]]) for r in got] == [(1, 1, 700.0, ["a", "b"]), (1, 2, 699.5, ["c"]), (1, 3, 10.0, ["z"]), (2, 1, 1.0, ["q"])]
+
+
+def test_files_of_issuers(spark, tmp_path):
+    from papyra.sources import files
+
+    for issuer, name in (("Alpha", "a.PDF"), ("Alpha", "b.pdf"), ("Beta", "c.txt")):
+        (tmp_path / issuer).mkdir(exist_ok=True)
+        (tmp_path / issuer / name).write_bytes(name.encode())
+    got = files.list_files(spark, f"file://{tmp_path}").select("issuer", "size", "sha256").collect()
+    assert sorted((r["issuer"], r["size"]) for r in got) == [("Alpha", 5), ("Alpha", 5)] and len({r["sha256"] for r in got}) == 2
+
+
+def test_loose_dates(spark):
+    rows = ["2024. 3. 5", "2024년 3월 5일", "on 2024/03/05.", "2024　3　5", "2024-3-05", "24. 3. 5", "none", None]
+    got = spark.createDataFrame([(r,) for r in rows], "t string").select(T.iso_date(F.col("t")).alias("d")).collect()
+    assert [r["d"] for r in got] == ["2024-03-05"] * 5 + [None] * 3
+
+
+def test_enrich_and_backlog(spark):
+    base = spark.createDataFrame([(1, "a"), (1, None), (2, "b")], "k int, l string")
+    more = spark.createDataFrame([(1, "a", 1, "old"), (1, "a", 2, "new"), (1, None, 1, "x"), (2, "c", 1, "y")], "k int, l string, seq int, v string")
+    assert sorted(map(repr, map(tuple, R.enrich(base, more, ["k", "l"], ["seq"]).collect()))) == sorted(map(repr, [(1, "a", "new"), (1, None, None), (2, "b", None)]))
+    names = lambda *n: spark.createDataFrame([(x,) for x in n], "file_name string")
+    got = E.backlog(names("a", "b", "c", "c"), names("a", "z"), names("c", "c", "q"))
+    assert sorted(map(tuple, got.collect())) == [("b", False), ("c", True), ("c", True)]
