@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from papyra.functions.chunking import chunks  # noqa: F401 (part of the text functions)
+
 # Fixed value: white space as regular expressions of the source data's language count it (Java's \s is ASCII only).
 WS = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 # Fixed value: a page footer, "page n / m".
