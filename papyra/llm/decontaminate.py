@@ -178,7 +178,11 @@ def report(found: DataFrame) -> DataFrame:
 
 
 def strip(found: DataFrame) -> DataFrame:
-    """(doc_id, text) with the covered words, and what stands between them, cut out of each text."""
+    """(doc_id, text) with the covered words, and what stands between them, cut out of each text.
+
+    A null text stays null and one without hits stays as it is; repeated rows
+    are cut alike, and an empty table gives no rows.
+    """
     ship(found.sparkSession)
 
     def run(batches):

@@ -352,7 +352,7 @@ def write(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 2, id_c
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """The blocks of a token data set."""
+    """The blocks of a token data set; one of an empty table has none."""
     return spark.read.schema(FORMAT).parquet(path)
 
 
@@ -370,7 +370,7 @@ def starts(blocks: DataFrame) -> DataFrame:
 
 
 def documents(blocks: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, from the decoded blocks."""
+    """(doc_id, start, n_tokens, ids_crc32) of every document, from the decoded blocks. Null ids stay null, equal ids keep a row each."""
     ship(blocks.sparkSession)
 
     def run(batches):
@@ -389,7 +389,7 @@ def documents(blocks: DataFrame) -> DataFrame:
 
 
 def occurrences(blocks: DataFrame, token: int) -> DataFrame:
-    """(position) of every place where the token stands, by select on each block that has it."""
+    """(position) of every place where the token stands, by select on each block that has it; none for a token that doesn't occur."""
     ship(blocks.sparkSession)
 
     def run(batches):

@@ -454,3 +454,21 @@ def test_substrings_of_two_hundred_bytes(spark):
         want[i] = len(x), sum(gone), spans, bytes(b for b, g in zip(x, gone) if not g)
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in substrings.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 200).collect()}
     assert got == want
+
+
+def test_mix_of_other_column_names(spark):
+    from papyra.llm import mixing
+
+    docs = Q.table(spark, DATA, "documents")
+    plain = mixing.counts(docs, weights=(5, 2, 1), share=1.5, most=2.0)
+    other = mixing.counts(docs.selectExpr("doc_id AS i", "text AS t", "source AS s", "'x' AS text"), text_col="t", source_col="s", id_col="i", weights=(5, 2, 1), share=1.5, most=2.0)
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, other.collect()))
+
+
+def test_strip_of_odd_rows(spark):
+    item = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(1, f"a, {item}. b"), (2, None), (3, "clean"), (4, ""), (None, item), (1, f"a, {item}. b")], "doc_id long, text string")
+    found = decontaminate.find(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    got = sorted(map(repr, map(tuple, decontaminate.strip(found).collect())))
+    assert got == sorted(map(repr, [(1, "a, . b"), (1, "a, . b"), (2, None), (3, "clean"), (4, ""), (None, "")]))
+    assert decontaminate.strip(found.limit(0)).count() == 0
