@@ -148,20 +148,25 @@ RULES = [
 COLUMNS = ["rule_id", "table_name", "key", "message"]
 
 
+def _named(found: DataFrame, rules: list) -> DataFrame:
+    """Rows (rule, key) with the names of the rule that has this place in the list: names aren't carried through counts and joins."""
+    of = lambda names: F.element_at(F.array(*map(F.lit, names)), F.col("rule") + 1)
+    return found.select(of([r.rule for r in rules]).alias("rule_id"), F.lit(rules[0].table).alias("table_name"), "key", of([r.message for r in rules]).alias("message"))
+
+
 def _repeated(df: DataFrame, rules: list[Unique]) -> DataFrame:
     """All uniqueness rules of a table in one scan and one count by (rule, key)."""
     keys = lambda r: F.array(*[F.expr(c).cast("string") for c in r.columns])
-    asked = F.array_compact(F.array(*[F.when(F.expr(r.where), F.struct(F.lit(r.rule).alias("rule_id"), F.lit(r.message).alias("message"), keys(r).alias("k"))) for r in rules]))
-    twice = df.select(F.explode(asked).alias("a")).groupBy("a").agg(F.count("*").alias("n")).filter("n > 1")
-    key = F.array_join(F.transform("a.k", lambda c: F.coalesce(c, F.lit(""))), "|")
-    return twice.select("a.rule_id", F.lit(rules[0].table).alias("table_name"), key.alias("key"), "a.message")
+    asked = F.array_compact(F.array(*[F.when(F.expr(r.where), F.struct(F.lit(i).alias("rule"), keys(r).alias("k"))) for i, r in enumerate(rules)]))
+    twice = df.select(F.explode(asked).alias("a")).groupBy("a.rule", "a.k").agg(F.count("*").alias("n")).filter("n > 1")
+    return _named(twice.select("rule", F.array_join(F.transform("k", lambda c: F.coalesce(c, F.lit(""))), "|").alias("key")), rules)
 
 
 def _orphans(child: DataFrame, parent: DataFrame, rules: list[Exists]) -> DataFrame:
     """All references of a table to one column of another in one scan and one join."""
-    asked = F.array_compact(F.array(*[F.when(F.expr(r.where), F.struct(F.lit(r.rule).alias("rule_id"), F.lit(r.message).alias("message"), F.col(r.key).cast("string").alias("key"), F.col(r.column).cast("string").alias("ref"))) for r in rules]))
+    asked = F.array_compact(F.array(*[F.when(F.expr(r.where), F.struct(F.lit(i).alias("rule"), F.col(r.key).cast("string").alias("key"), F.col(r.column).cast("string").alias("ref"))) for i, r in enumerate(rules)]))
     refs = child.select(F.explode(asked).alias("a")).select("a.*")
-    return refs.join(parent, F.col("ref") == F.col("parent_key"), "left_anti").select("rule_id", F.lit(rules[0].table).alias("table_name"), "key", "message")
+    return _named(refs.join(parent, F.col("ref") == F.col("parent_key"), "left_anti").select("rule", "key"), rules)
 
 
 def violations(tables: dict[str, DataFrame], rules: list = RULES) -> DataFrame:

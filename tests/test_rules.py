@@ -149,3 +149,11 @@ def test_summary_report(spark):
     assert A.summary(counts, {}, rates, broken.limit(0))["status"] == "passed"
     with pytest.raises(ValueError, match="kind has over 1 values"):
         A.summary(counts, {"kind": kinds}, rates, broken, most=1)
+
+
+def test_names_of_rules_are_added_after_the_count(spark):
+    rule = V.Unique("V1", "documents", ("doc_id",), "duplicate doc_id")
+    found = V._repeated(spark.range(5).selectExpr("id % 4 as doc_id"), [rule])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "duplicate doc_id" not in plan[plan.index("Aggregate") :]
+    assert [tuple(r) for r in found.collect()] == [("V1", "documents", "0", "duplicate doc_id")]
