@@ -76,10 +76,10 @@ def pdf_table_lines(spark, sf):
 
 @query("SELECT doc_id::VARCHAR AS doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text, coalesce(source, '') AS source FROM documents")
 def csv_round_trip(spark, sf):
-    """All documents as CSV with quoted line ends, read by a task for every 256 kB of a file."""
+    """All documents as CSV with quoted line ends, read by a task for every 16 MB of a file."""
     path = new_path(spark, "csv")
     files.write_csv(t(spark, sf, "documents"), path, ["doc_id", "lang", "text", "source"])
-    return split_csv.read_csv(spark, path, range_bytes=1 << 18)
+    return split_csv.read_csv(spark, path, range_bytes=1 << 24)
 
 
 @query("""

@@ -10,6 +10,7 @@ is put together from several ranges.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -37,13 +38,26 @@ def _lines(spark: SparkSession, path: str, range_bytes: int | None) -> DataFrame
 
 
 def _runs(batch: pa.RecordBatch):
-    """The stretches of a batch that lie in one range: its file and begin, and their lines."""
+    """The stretches of a batch that lie in one range: its file and begin, their first row and their lines."""
     file, begin = batch.column("file"), batch.column("begin").to_numpy(zero_copy_only=False)
-    at = 0
-    for k in range(1, len(begin) + 1):
-        if k == len(begin) or begin[k] != begin[at] or file[k] != file[at]:
-            yield file[at].as_py(), int(begin[at]), batch.column("value").slice(at, k - at)
-            at = k
+    n = len(begin)
+    if not n:
+        return
+    other = (begin[1:] != begin[:-1]) | pc.not_equal(file.slice(1), file.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+    edges = [0, *(np.flatnonzero(other) + 1).tolist(), n]
+    for at, to in zip(edges, edges[1:], strict=False):
+        yield file[at].as_py(), int(begin[at]), at, batch.column("value").slice(at, to - at)
+
+
+def _odd_before(value: pa.Array, odd: int) -> tuple[np.ndarray, int]:
+    """Of each line whether the quotes before it are odd in number, and the same after the last; ``odd`` holds before the first."""
+    sums = np.cumsum(pc.count_substring(value, '"').to_numpy(zero_copy_only=False), dtype=np.int64) + odd
+    return np.concatenate([[odd], sums[:-1]]) & 1 == 1, int(sums[-1] & 1)
+
+
+def _joined(value: pa.Array, edges: np.ndarray) -> pa.Array:
+    """The lines between neighbouring edges, each stretch as one string."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(edges, pa.int32()), value), "\n")
 
 
 def ranges(lines: DataFrame) -> DataFrame:
@@ -53,14 +67,13 @@ def ranges(lines: DataFrame) -> DataFrame:
     def scan(batches):
         now, odd, starts = None, 0, False
         for b in batches:
-            for file, begin, value in _runs(b):
+            for file, begin, _, value in _runs(b):
                 if (file, begin) != now:
                     if now:
                         yield pa.record_batch({"file": [now[0]], "begin": [now[1]], "odd": [bool(odd)], "starts_inside": [starts]})
                     now, odd, starts = (file, begin), 0, False
-                for n in pc.count_substring(value, '"').to_pylist():
-                    starts = starts or odd == 1  # inside at first, outside after an odd number of quotes
-                    odd ^= n & 1
+                before, odd = _odd_before(value, odd)
+                starts = starts or bool(before.any())  # inside at first, outside after an odd number of quotes
         if now:
             yield pa.record_batch({"file": [now[0]], "begin": [now[1]], "odd": [bool(odd)], "starts_inside": [starts]})
 
@@ -85,41 +98,40 @@ def records(spark: SparkSession, path: str, range_bytes: int | None = None) -> D
     joined = lines.join(F.broadcast(where), _RANGE)
 
     def cut(batches):
-        now = nth = None
-        held, owner, whole, inside, files, out = [], None, True, False, [], []
+        now, nth, held, owner, whole, inside = None, 0, [], None, True, 0
 
-        def close(last: bool):
+        def rows(*columns):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string()), strict=True)], names=_PIECE)
+
+        def closed(last: bool):
             # A piece is whole if its record neither began before the range nor is still open at its end.
-            if held:
-                out.append((now[0], owner if owner is not None else now[1], nth, now[1], whole and not last, "\n".join(held)))
+            out = rows([now[0]], [owner if owner is not None else now[1]], [nth], [now[1]], [whole and not last], ["\n".join(held)])
             held.clear()
-
-        def flush():
-            rows, out[:] = list(out), []
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string()))], names=_PIECE)
+            return out
 
         for b in batches:
-            first = {}
-            for k, key in enumerate(zip(b.column("file").to_pylist(), b.column("begin").to_pylist(), strict=True)):
-                first.setdefault(key, k)
-            for file, begin, value in _runs(b):
+            for file, begin, at, value in _runs(b):
                 if (file, begin) != now:
-                    if now:
-                        close(inside)
-                    now, nth, k = (file, begin), 0, first[file, begin]
-                    inside = b.column("inside")[k].as_py()
-                    owner, whole = b.column("opened")[k].as_py(), not inside
-                for text, n in zip(value.to_pylist(), pc.count_substring(value, '"').to_pylist(), strict=True):
-                    if held and not inside:
-                        close(False)
-                        nth, owner, whole = nth + 1, None, True
-                    held.append(text)
-                    inside ^= n % 2 == 1
-            if out:
-                yield flush()
-        if now:
-            close(inside)
-            yield flush()
+                    if held:
+                        yield closed(inside == 1)
+                    now, nth, inside = (file, begin), 0, int(b.column("inside")[at].as_py())
+                    owner, whole = b.column("opened")[at].as_py(), not inside
+                before, inside = _odd_before(value, inside)
+                starts = np.flatnonzero(~before)
+                first = int(starts[0]) if len(starts) else len(value)
+                if first:
+                    held.append(_joined(value, np.array([0, first]))[0].as_py())
+                if not len(starts):
+                    continue
+                if held:
+                    yield closed(False)
+                    nth, owner, whole = nth + 1, None, True
+                if k := len(starts) - 1:
+                    yield rows([file] * k, np.full(k, begin), np.arange(nth, nth + k), np.full(k, begin), np.ones(k, bool), _joined(value, starts))
+                    nth += k
+                held.append(_joined(value, np.array([starts[-1], len(value)]))[0].as_py())
+        if held:
+            yield closed(inside == 1)
 
     pieces = joined.mapInArrow(cut, "file string, owner long, nth long, begin long, whole boolean, text string")
     pieces = spark.read.schema(pieces.schema).parquet(settle(pieces, "csv-pieces")._settled_at)

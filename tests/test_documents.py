@@ -62,6 +62,29 @@ def test_split_csv_uses_several_tasks_a_file(spark, tmp_path):
     assert got.count() == 3000 and got.filter("b <> 'x\ny'").count() == 0
 
 
+@pytest.mark.parametrize("rows", [1, 7, 10000])
+def test_split_csv_with_records_over_batches(spark, tmp_path, rows):
+    """Records that begin in one Arrow batch and end in a later one, with a range's border among them."""
+    raw = "a,b\n" + "".join(f'{k},"{"x" * (k % 3)}\n{chr(10) * (k % 11)}""{k}"\n' if k % 4 else f"{k},plain\n" for k in range(400))
+    (tmp_path / "one.csv").write_text(raw, newline="")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    try:
+        for size in (500, 1 << 24):
+            got = split_csv.read_csv(spark, f"file://{tmp_path}", size).collect()
+            assert sorted(tuple(r) for r in got) == sorted(tuple(r) for r in csv.reader(raw.splitlines(keepends=True)) if r != ["a", "b"])
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_csv_round_trip_starts_few_tasks(spark, monkeypatch):
+    """Tasks with little to read cost more than what they read: a gigabyte of CSV is under a hundred ranges."""
+    seen, read = [], split_csv.read_csv
+    monkeypatch.setattr(split_csv, "read_csv", lambda s, path, range_bytes=None: seen.append(range_bytes) or read(s, path, range_bytes))
+    assert same(D.csv_round_trip(spark, DATA), D.oracle_sql()["csv_round_trip"])
+    assert seen and seen[0] * 100 > 1 << 30
+
+
 def test_split_csv_with_a_cell_over_many_ranges(spark, tmp_path):
     long = "line\n" * 900
     (tmp_path / "one.csv").write_text(f'a,b\n1,"{long}"\n2,z\n', newline="")
