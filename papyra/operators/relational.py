@@ -47,7 +47,15 @@ def distribution(df: DataFrame, column: str) -> DataFrame:
 
 
 def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
+    """(keys, n) of the keys that stand several times.
+
+    Rows are dealt by key before they are counted: nearly all keys differ, and
+    a task that counts what it scans would hold all keys of its part of the file.
+    The number of partitions is given, as Spark would join them up to some bytes
+    as compressed, which take many times that in a task's table of keys.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.select(*keys).repartition(parts, *keys).groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
 
 
 def repeated_rows(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -113,4 +121,5 @@ def violations(*rules: tuple[str, str, DataFrame, Column]) -> DataFrame:
 
 
 def orphans(child: DataFrame, parent: DataFrame, key: str, parent_key: str) -> DataFrame:
-    return child.join(parent.select(F.col(parent_key).alias(key)).distinct(), key, "left_anti")
+    """The child rows without a parent. The parent's keys aren't made distinct first, as a task would hold all it scans."""
+    return child.join(parent.select(F.col(parent_key).alias(key)), key, "left_anti")

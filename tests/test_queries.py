@@ -68,3 +68,13 @@ def test_csv_round_trip(spark, tmp_path):
     got = files.read_csv(spark, str(tmp_path / "c"))
     assert got.columns == ["y", "x"]
     assert {(r.x, r.y) for r in got.collect()} == {("a,b", 'say "hi"'), ("line\nbreak", "")}
+
+
+def test_duplicates_are_dealt_before_they_are_counted(spark):
+    """No task counts the keys of what it scans, so its memory follows the shuffle's partitions, not the files."""
+    df = spark.createDataFrame([(k % 90, None if k % 7 else 1) for k in range(100)], "k long, m long")
+    got = R.duplicates(df, ["k", "m"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert {(r["k"], r["m"]): r["n"] for r in got.collect()} == {(k, None if k % 7 or (k + 90) % 7 else 1): 2 for k in range(10) if (k % 7 == 0) == ((k + 90) % 7 == 0)}
+    scan_side = plan.rsplit("Exchange", 1)[1]
+    assert "HashAggregate" not in scan_side and plan.count("Exchange") == 1
